@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["windows"]
+AREAS = ["windows", "attacks", "scores", "quality", "models"]
 
 
 def _areas():

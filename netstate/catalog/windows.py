@@ -161,10 +161,10 @@ def _ids(alias: str) -> str:
     return f"array_to_string({alias}, ',')"
 
 
-POSITIONAL = """n AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY window_id) AS pos FROM {source}),
+POSITIONAL = """placed AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY window_id) AS pos FROM {source}),
 sq AS (SELECT {keys}, list(window_id) OVER o AS ids, list(flow_count) OVER o AS fc, lead(window_id) OVER t AS target_window_id,
   lead(dominant_state) OVER t AS y_dominant_state, lead(attack_present) OVER t AS y_attack_present, lead(total_packets) OVER t AS y_packets, pos, window_id
-  FROM n WINDOW o AS (PARTITION BY {keys} ORDER BY window_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), t AS (PARTITION BY {keys} ORDER BY window_id))"""
+  FROM placed WINDOW o AS (PARTITION BY {keys} ORDER BY window_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), t AS (PARTITION BY {keys} ORDER BY window_id))"""
 
 
 @query(
