@@ -69,7 +69,7 @@ def sequences_positional(
     groups = [*keys, *within]
     numbered = with_position(states, groups, "window_id", bits)
     framed = _frames(numbered, groups, "position", length, 1, _item(states, features), bits)
-    target = F.col("_next")[0]
+    target = F.get("_next", F.lit(0))
     return framed.select(
         *groups,
         F.col("_past.window_id").alias("input_window_ids"),
@@ -88,7 +88,7 @@ def sequences_gap_aware(
     """Sequences whose input and target windows are consecutive ids; none bridges a gap or a session border."""
     groups = [*keys, *within]
     framed = _frames(states, groups, "window_id", length, 1, _item(states, features), bits)
-    target = F.col("_next")[0]
+    target = F.get("_next", F.lit(0))
     return framed.select(
         *groups,
         F.col("_past.window_id").alias("input_window_ids"),
@@ -113,7 +113,7 @@ def multistep_sequences(
     labels = F.concat(F.col("_past.state"), F.col("_next.state"))
     framed = framed.where(F.size(F.array_except(labels, known)) == 0).where(~F.exists(labels, lambda s: s.isNull()))
     past, ahead = F.col("_past.window_id"), F.col("_next.window_id")
-    sample = F.concat_ws(":", *[F.col(k) for k in keys], past[0], F.element_at(ahead, -1))
+    sample = F.concat_ws(":", *[F.col(k) for k in keys], F.get(past, F.lit(0)), F.get(ahead, F.lit(horizons - 1)))
     return framed.select(
         *groups,
         sample.alias("sample_id"),
