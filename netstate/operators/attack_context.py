@@ -115,7 +115,7 @@ def general_number(column: Column) -> Column:
     mantissa = F.concat(F.substring(digits, F.lit(1), F.lit(1)), F.lit("."), F.substring(digits, F.lit(2), F.lit(5)))
 
     def trimmed(value: Column) -> Column:
-        return F.regexp_replace(value, r"\.?0+$", "")
+        return F.regexp_replace(value, r"\.?0*$", "")
 
     power = F.concat(F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
     plain = (
@@ -357,7 +357,7 @@ def validate_technique_file(spark: SparkSession, path: str) -> DataFrame:
         "duplicate id": F.col("_copies") > 1,
     }
     broken = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in checks.items()]))
-    return techniques.join(copies, "technique_id").drop("_copies").withColumn("problems", broken)
+    return techniques.join(copies, "technique_id", "left").withColumn("problems", broken).drop("_copies")
 
 
 def unknown_techniques(techniques: DataFrame) -> DataFrame:

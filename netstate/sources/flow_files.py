@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netstate.functions.columns import find_label_column, match_features
+from netstate.functions.columns import find_label_column, match_features, quoted
 
 # Fixed session order of the public intrusion dataset, one capture file each.
 SESSION_FILES = [
@@ -105,11 +105,14 @@ def read_labelled(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFra
         spark.read.option("header", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
+        .option("columnPruning", False)
         .schema(_text_schema(columns, "_corrupt"))
         .csv(pattern)
     )
     rows = _with_source(raw)
-    return rows.where(F.col("_corrupt").isNull()).drop("_corrupt"), rows.where(F.col("_corrupt").isNotNull())
+    # Spark refuses to read the corrupt-record column alone, so the test also names a data column.
+    malformed = F.concat(F.col("_corrupt"), F.coalesce(F.col(quoted(columns[0])), F.lit(""))).isNotNull()
+    return rows.where(~malformed).drop("_corrupt"), rows.where(malformed)
 
 
 def fingerprints(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
