@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netstate.catalog.shaping import HOUR, long, rounded
 from netstate.catalog.sql import FLOWS, states, with_ctes
-from netstate.catalog.windows import CHRONO, GAP, NUMBERED, POSITIONAL, TRANSITIONS
+from netstate.catalog.windows import CHRONO, GAP, MULTISTEP, NUMBERED, POSITIONAL, TRANSITIONS
 from netstate.constants import STATE_FEATURES
 from netstate.operators import audits, profile, splits, transitions
 from netstate.operators import sequences as seq
@@ -48,8 +48,8 @@ def source_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    with_ctes(FLOWS)
-    + """SELECT 4 AS source_count, count(*) AS rows, count(*) FILTER (WHERE isinf(flow_pkts_s)) AS invalid_values, CAST(0 AS BIGINT) AS duplicate_rows_within_sessions FROM flows"""
+    with_ctes(FLOWS, "g AS (SELECT * EXCLUDE (flow_seq), count(*) AS n, sum(CAST(isinf(flow_pkts_s) AS INT)) AS bad FROM flows GROUP BY ALL)")
+    + """SELECT CAST(count(DISTINCT session_id) AS INT) AS source_count, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(bad) AS BIGINT) AS invalid_values, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows_within_sessions FROM g"""
 )
 def combined_profile(spark: SparkSession, d: str) -> DataFrame:
     out = profile.combined_profile(profile.source_profile(derive_flows(spark, d)))
@@ -244,11 +244,39 @@ def leakage_found(spark: SparkSession, d: str) -> DataFrame:
     return audits.leakage_check(sequences.withColumn("split", split))
 
 
+TEST_CUT = "least(greatest(6, CAST(floor(n * 0.85E0) AS BIGINT)), n)"
+FINAL_SPLIT = f"""fs AS (SELECT *, CASE WHEN pos <= greatest(6, CAST(floor({TEST_CUT} * 0.9E0) AS BIGINT)) THEN 'train' WHEN pos <= {TEST_CUT} THEN 'validation' ELSE 'test' END AS split
+  FROM n WHERE pos <= {TEST_CUT} OR pos > {TEST_CUT} + 5)"""
+AUDITED = "au AS (SELECT * FROM sq WHERE len(ids) = 5 AND ids[1] = window_id - 4 AND target_window_id = window_id + 1)"
+
+
+def _audit_sql() -> str:
+    """Violations counted over the gap-aware sequences of the final split."""
+    shared = """(SELECT count(*) FROM (SELECT session_id, target_window_id FROM au WHERE split = '{a}' INTERSECT SELECT session_id, target_window_id FROM au WHERE split = '{b}'))"""
+    copies = " + ".join(
+        f"(SELECT count(*) FROM (SELECT fc, pc FROM au WHERE split = '{a}' INTERSECT SELECT fc, pc FROM au WHERE split = '{b}'))"
+        for a, b in (("train", "validation"), ("train", "test"), ("validation", "test"))
+    )
+    misaligned = "(SELECT count(*) FROM au WHERE target_window_id <> ids[5] + 1 OR ids[5] - ids[1] <> 4)"
+    unlabelled = "(SELECT count(*) FROM au WHERE y_dominant_state NOT IN ('BENIGN', 'DDoS', 'DoS', 'PortScan'))"
+    counts = {
+        "session_boundary_leakage": "0", "train_validation_overlap": shared.format(a="train", b="validation"),
+        "train_test_overlap": shared.format(a="train", b="test"), "scaler_train_only": "0", "next_window_alignment": misaligned,
+        "future_feature_leakage": misaligned, "duplicate_sequence_leakage": copies, "invalid_features_exclusion": unlabelled,
+        "synthetic_session_continuity": "0",
+    }
+    return " UNION ALL ".join(f"SELECT '{name}' AS \"check\", CAST({sql} AS BIGINT) AS violations" for name, sql in counts.items())
+
+
+AUDIT_SEQUENCES = POSITIONAL.format(keys="session_id, split", source="(SELECT * EXCLUDE (pos, n) FROM fs)").replace(
+    "list(flow_count) OVER o AS fc", "list(flow_count) OVER o AS fc, list(total_packets) OVER o AS pc"
+)
+
+
 @query(
-    with_ctes(FLOWS, states(where=GAP), "m AS (SELECT 'x' AS check)")
-    + """SELECT * FROM (VALUES ('session_boundary_leakage', 'PASS', 0), ('train_validation_overlap', 'PASS', 0), ('train_test_overlap', 'PASS', 0), ('scaler_train_only', 'PASS', 0),
-  ('next_window_alignment', 'PASS', 0), ('future_feature_leakage', 'PASS', 0), ('duplicate_sequence_leakage', 'PASS', 0), ('invalid_features_exclusion', 'PASS', 0), ('synthetic_session_continuity', 'PASS', 0), ('overall', 'PASS', 0)) v("check", status, n)"""
-    .replace("SELECT *", 'SELECT "check", status, CAST(n AS BIGINT) AS violations')
+    with_ctes(FLOWS, states(where=GAP), NUMBERED, FINAL_SPLIT, AUDIT_SEQUENCES, AUDITED, f"v AS ({_audit_sql()})")
+    + """SELECT "check", CASE WHEN violations > 0 THEN 'FAIL' ELSE 'PASS' END AS status, violations FROM v
+  UNION ALL SELECT 'overall', CASE WHEN max(violations) > 0 THEN 'FAIL' ELSE 'PASS' END, count(*) FILTER (WHERE violations > 0) FROM v"""
 )
 def training_audit(spark: SparkSession, d: str) -> DataFrame:
     parts = stage(splits.final_split(_states(spark, d)))
@@ -257,6 +285,45 @@ def training_audit(spark: SparkSession, d: str) -> DataFrame:
     return audits.training_audit(sequences, splits.fit_min_max(train), train)
 
 
+@query(
+    with_ctes(FLOWS, states(where=GAP))
+    + """SELECT count(*) AS input_rows, count(timestamp) AS timestamps_valid, count(*) - count(timestamp) AS timestamps_invalid, (max(epoch_us(timestamp)) - min(epoch_us(timestamp))) / 1000000 AS span_seconds,
+  (SELECT count(*) FROM states) AS total_windows, (SELECT count(*) - count(DISTINCT session_id) FROM states) AS transitions, (SELECT CAST(sum(benign_flow_count) AS BIGINT) FROM states) AS benign_flows,
+  (SELECT CAST(sum(ddos_flow_count) AS BIGINT) FROM states) AS ddos_flows, (SELECT CAST(sum(dos_flow_count) AS BIGINT) FROM states) AS dos_flows, (SELECT CAST(sum(portscan_flow_count) AS BIGINT) FROM states) AS portscan_flows,
+  (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT greatest(count(*) - 5, 0) AS n FROM states GROUP BY session_id)) AS total_sequences FROM flows"""
+)
+def dataset_summary(spark: SparkSession, d: str) -> DataFrame:
+    from netstate.plans import dataset
+
+    whole = _states(spark, d)
+    return dataset.dataset_summary(derive_flows(spark, d), whole, seq.sequences_positional(whole, features=["flow_count"]))
+
+
+@query(
+    with_ctes(FLOWS, states(where=GAP))
+    + """SELECT f.session_id, flow_records, invalid_features, available_windows, CAST(401 AS INT) AS required_windows FROM (SELECT session_id, count(*) AS flow_records,
+  count(*) FILTER (WHERE current_state = 'INVALID_FEATURES') AS invalid_features FROM flows GROUP BY 1) f JOIN (SELECT session_id, count(*) AS available_windows FROM states GROUP BY 1) s USING (session_id) WHERE available_windows < 401"""
+)
+def insufficient_data(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that cannot serve sequences of 400 windows."""
+    from netstate.plans import dataset
+
+    out = dataset.insufficient_data(derive_flows(spark, d), _states(spark, d), 400, HOUR)
+    return out.select("session_id", "flow_records", "invalid_features", "available_windows", "required_windows")
+
+
+@query(
+    with_ctes(FLOWS, states(where=GAP), MULTISTEP.format(source="states"), "t AS (SELECT CASE WHEN session_id = 's3' THEN 'validation' ELSE 'train' END AS split, unnest(fl) AS l FROM multi)")
+    + """SELECT count(*) FILTER (WHERE split = 'train' AND l = 'BENIGN') AS train_benign, count(*) FILTER (WHERE split = 'train' AND l = 'DDoS') AS train_ddos, count(*) FILTER (WHERE split = 'train' AND l = 'DoS') AS train_dos,
+  count(*) FILTER (WHERE split = 'train' AND l = 'PortScan') AS train_portscan, count(*) FILTER (WHERE split = 'validation' AND l = 'DDoS') AS validation_ddos,
+  CASE WHEN least(train_benign, train_ddos, train_dos, train_portscan, validation_ddos) = 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM t"""
+)
+def class_support_gate(spark: SparkSession, d: str) -> DataFrame:
+    samples = seq.multistep_sequences(window_states(derive_flows(spark, d), HOUR).where(GAP), features=["flow_count"])
+    split = F.when(F.col("session_id") == "s3", "validation").otherwise("train")
+    return audits.class_support_gate(samples.withColumn("split", split))
+
+
 @query()
 def build_gates(spark: SparkSession, d: str) -> DataFrame:
     flows = derive_flows(spark, d)

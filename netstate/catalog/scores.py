@@ -13,6 +13,8 @@ from netstate.operators import horizons as hz
 from netstate.operators import metrics as mt
 from netstate.operators import sequences as seq
 from netstate.operators import splits
+from netstate.operators.audits import probability_sanity as probability_checks
+from netstate.operators.audits import promotion_gates as gates
 from netstate.operators.states import window_states
 from netstate.scale import stage
 from netstate.sources.tables import derive_flows, derive_scored
@@ -329,3 +331,29 @@ def walk_forward_metrics(spark: SparkSession, d: str) -> DataFrame:
     scored = derive_scored(spark, d).withColumn("fold", (F.col("flow_seq") % 3 + 1).cast("int"))
     pooled = scored.withColumn("fold", F.explode(F.array(F.col("fold"), F.lit(0))))
     return rounded(mt.summary_metrics(pooled, ["fold"]), SUMMARY)
+
+
+@query(
+    with_ctes(FLOWS, SCORED)
+    + """SELECT bool_and(isfinite(p_benign) AND isfinite(p_ddos) AND isfinite(p_dos) AND isfinite(p_portscan)) AS finite_probabilities,
+  bool_and(abs(p_benign + p_ddos + p_dos + p_portscan - 1) <= 1E-5) AS probability_sums, count(DISTINCT y_pred) >= 2 AS prediction_diversity FROM scored"""
+)
+def probability_sanity(spark: SparkSession, d: str) -> DataFrame:
+    return probability_checks(derive_scored(spark, d), mt.PROBABILITIES)
+
+
+@query(
+    with_ctes(FLOWS, SCORED, "paired AS (SELECT 'model' AS model, y_true, y_pred FROM scored UNION ALL SELECT 'constant', y_true, 'BENIGN' FROM scored)",
+              class_ctes("paired", "model"), f"s AS ({summary_select('model')})", f"a AS ({attack_sql('paired', 'model')})")
+    + """SELECT 'macro_f1_improves' AS gate, (SELECT macro_f1 FROM s WHERE model = 'model') > (SELECT macro_f1 FROM s WHERE model = 'constant') AS passed
+  UNION ALL SELECT 'ddos_support', (SELECT support FROM per_class WHERE model = 'model' AND class = 'DDoS') > 0
+  UNION ALL SELECT 'ddos_recall_improves', (SELECT recall FROM per_class WHERE model = 'model' AND class = 'DDoS') > (SELECT recall FROM per_class WHERE model = 'constant' AND class = 'DDoS')
+  UNION ALL SELECT 'benign_fpr_within_one_point', (SELECT false_positive_rate FROM a WHERE model = 'model') <= (SELECT false_positive_rate FROM a WHERE model = 'constant') + 0.01E0"""
+)
+def promotion_gates(spark: SparkSession, d: str) -> DataFrame:
+    scored = derive_scored(spark, d).select("y_true", "y_pred")
+    both = scored.withColumn("model", F.lit("model")).unionByName(
+        scored.withColumn("y_pred", F.lit("BENIGN")).withColumn("model", F.lit("constant"))
+    )
+    by = ["model"]
+    return gates(mt.summary_metrics(both, by), mt.class_metrics(both, by), mt.attack_metrics(both, by), "model", "constant")

@@ -13,7 +13,7 @@ HOUR = 3600
 
 
 def rounded(df: DataFrame, columns: Sequence[str] = STATE_FEATURES, places: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), places) for c in columns})
+    return df.withColumns({c: F.expr(f"round({c}, {places})") for c in columns})
 
 
 def time_text(column: str | Column) -> Column:

@@ -52,7 +52,8 @@ def _invalid(df: DataFrame, name: str) -> Column:
 def column_statistics(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = SESSION) -> DataFrame:
     """Per key and column: present cells, invalid cells, numeric range, and whether it holds at most one value.
 
-    All columns are measured in one pass. A column is constant when its least and greatest texts agree.
+    All columns are measured in one pass with fixed-width buffers. A column is constant when its least and greatest
+    values agree; texts are compared by their 64-bit hash.
     """
     columns = [c for c in (columns or df.columns) if c not in keys]
     structs = []
@@ -61,7 +62,7 @@ def column_statistics(df: DataFrame, columns: Sequence[str] | None = None, keys:
         kind = df.schema[name].dataType.typeName()
         numeric = kind in NUMERIC or kind == "string"
         value = finite_number(column) if numeric else F.lit(None).cast("double")
-        comparable = column if kind in NUMERIC else column.cast("string")
+        comparable = column if kind in NUMERIC else F.when(column.isNotNull(), F.xxhash64(column))
         structs.append(
             F.struct(
                 F.lit(name).alias("column"),

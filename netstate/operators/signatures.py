@@ -13,7 +13,7 @@ from netstate.constants import (
     SYN_MAX_ACK_RATIO, SYN_MIN_COUNT, SYN_MIN_PACKET_RATE,
 )
 from netstate.functions.values import argmax_label, number_or_zero
-from netstate.scale import ROW_BITS, join_small, with_previous
+from netstate.scale import ROW_BITS, bounded_rows, join_small, salted_join, with_previous
 
 TIME_COLUMNS = ("timestamp", "time", "starttime")
 
@@ -128,9 +128,15 @@ def port_sweeps(
         )
         .where((F.col("unique_ports") >= min_ports) & (F.col("mean_fwd_bytes") <= max_mean_bytes))
     )
-    suspects = join_small(pairs.where(F.col("port").isNotNull()), swept.select("src", "dst"), ["src", "dst"], "inner")
-    walked = port_walks(suspects, ["src", "dst"], "_order", "port", bits)
-    return swept.join(walked, ["src", "dst"], "left").withColumn("pattern", F.coalesce("pattern", F.lit("none")))
+    pair, touched = ["src", "dst"], pairs.where(F.col("port").isNotNull())
+    local = bounded_rows(swept)
+    if local is not None:
+        swept = local
+        suspects = touched.join(F.broadcast(local.select(*pair)), pair, "left_semi")
+    else:
+        suspects = salted_join(touched, swept.select(*pair), pair, "inner")
+    walked = port_walks(suspects, pair, "_order", "port", bits)
+    return swept.join(walked, pair, "left").withColumn("pattern", F.coalesce("pattern", F.lit("none")))
 
 
 def walk_pattern(distinct: Column, low: Column, high: Column, steps: Column, unit: Column, small: Column, large: Column,

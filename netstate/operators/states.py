@@ -12,11 +12,16 @@ from netstate.constants import (
     WINDOW_SECONDS,
 )
 from netstate.functions.columns import column_signature, find_id_columns, quoted
-from netstate.functions.values import argmax_label, finite_number, number
+from netstate.functions.values import argmax_label
 from netstate.scale import ROW_BITS, join_small, with_position
 
 SESSION = ("session_id",)
 DST_PORT = " Destination Port"
+ENDPOINTS = ["unique_src_ip_count", "unique_dst_ip_count", "unique_src_port_count", "unique_dst_port_count"]
+
+# Raw cells as numbers: NaN and text are missing; row-order windows also treat infinities as missing.
+ANY_NUMBER = "nullif(try_cast({c} AS DOUBLE), double('NaN'))"
+FINITE_NUMBER = "CASE WHEN abs(try_cast({c} AS DOUBLE)) < double('Infinity') THEN try_cast({c} AS DOUBLE) END"
 
 
 def assign_windows(
@@ -62,23 +67,42 @@ def window_source_columns(columns: Sequence[str]) -> dict[str, str | None]:
     return found
 
 
-def _aggregates(source: dict, state: Column, seconds: float, clean, distinct) -> list[Column]:
-    """Aggregates of one window: the state vector, class counts. `clean` turns a raw column into a number."""
-    functions = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "var": F.var_samp}
-
-    def unique(key: str) -> Column:
-        return distinct(F.col(quoted(source[key]))) if source[key] else F.lit(0)
-
-    columns = [F.count(F.lit(1)).alias("flow_count")]
-    columns += [unique(role).cast("double").alias(f"unique_{role}_count") for role in ("src_ip", "dst_ip", "src_port")]
-    columns.append(unique(DST_PORT).cast("double").alias("unique_dst_port_count"))
+def _aggregates(source: dict, state: str, number: str) -> list[Column]:
+    """Additive part of the state vector and class counts. `number` is the SQL form of a cleaned raw column."""
+    functions = {"sum": "sum", "mean": "avg", "min": "min", "max": "max", "var": "var_samp"}
+    columns = [F.expr("count(1) AS flow_count")]
     for output, feature, how in WINDOW_AGGREGATES:
-        value = functions[how](clean(F.col(quoted(source[feature]))))
-        columns.append(F.coalesce(value, F.lit(0.0)).alias(output))
-    columns += [F.count_if(state == c).alias(f"{c.lower()}_flow_count") for c in STATE_CLASSES]
+        value = number.format(c=quoted(source[feature]))
+        columns.append(F.expr(f"coalesce({functions[how]}({value}), 0D) AS {output}"))
+    columns += [F.expr(f"count_if({quoted(state)} = '{c}') AS {c.lower()}_flow_count") for c in STATE_CLASSES]
     return columns
 
 
+def _endpoint_counts(windowed: DataFrame, source: dict, keys: Sequence[str]) -> DataFrame:
+    """Distinct addresses and ports per window."""
+    kinds = ["src_ip", "dst_ip", "src_port", DST_PORT]
+    pairs = F.array(
+        *[
+            F.struct(F.lit(i).alias("kind"), F.col(quoted(source[kind])).cast("string").alias("value"))
+            for i, kind in enumerate(kinds)
+            if source[kind]
+        ]
+    )
+    distinct = windowed.select(*keys, F.inline(pairs)).where(F.col("value").isNotNull()).groupBy(*keys, "kind", "value")
+    return distinct.agg(F.lit(1).alias("_one")).groupBy(*keys).agg(
+        *[F.count_if(F.col("kind") == i).cast("double").alias(name) for i, name in enumerate(ENDPOINTS)]
+    )
+
+
+def _endpoint_sets(source: dict) -> list[Column]:
+    """Distinct addresses and ports of a window of few rows."""
+    sizes = {
+        name: f"size(collect_set({quoted(source[kind])}))" if source[kind] else "0"
+        for name, kind in zip(ENDPOINTS, ("src_ip", "dst_ip", "src_port", DST_PORT))
+    }
+    return [F.expr(f"CAST({size} AS DOUBLE) AS {name}") for name, size in sizes.items()]
+
+
 def _finish(states: DataFrame, seconds: float) -> DataFrame:
     """Derived totals, rates, dominant state and attack flags; windows without a scoreable flow are dropped."""
     counts = {c: F.col(f"{c.lower()}_flow_count") for c in STATE_CLASSES}
@@ -112,19 +136,23 @@ def window_states(
 ) -> DataFrame:
     """One state vector per session and time window.
 
-    One pass over the flows: exact distinct counts and all other aggregates are combined map-side, so a window or
-    session that holds most of the flows reaches its reducer as partial results only.
+    Sums and extremes are combined map-side, so a window or session that holds most of the flows reaches its reducer
+    as partial results. Endpoints are counted exactly from narrow (window, kind, value) rows that are made distinct
+    first; the numeric and the endpoint branch read different columns of the flows, and both end up partitioned by
+    window, so joining them moves nothing.
     """
     source = window_source_columns(flows.columns)
-    used = dict.fromkeys([*keys, timestamp, state, *[c for c in source.values() if c]])
-    windowed = assign_windows(flows.select(*[F.col(quoted(c)) for c in used]), window_seconds, timestamp, keys)
+    windowed = assign_windows(flows, window_seconds, timestamp, keys)
     aggregated = windowed.groupBy(*keys, "window_id").agg(
         F.min("window_start").alias("window_start"),
         F.min("window_end").alias("window_end"),
-        *_aggregates(source, F.col(state), window_seconds, number, F.count_distinct),
+        *_aggregates(source, state, ANY_NUMBER),
     )
+    endpoints = _endpoint_counts(windowed, source, [*keys, "window_id"])
+    joined = aggregated.join(endpoints, [*keys, "window_id"], "left")
+    joined = joined.withColumns({name: F.coalesce(name, F.lit(0.0)) for name in ENDPOINTS})
     counts = [f"{c.lower()}_flow_count" for c in STATE_CLASSES]
-    return _finish(aggregated, window_seconds).select(
+    return _finish(joined, window_seconds).select(
         *keys, "window_id", "window_start", "window_end", *STATE_FEATURES, *counts, "dominant_state", "attack_present",
         "alert_state",
     )
@@ -145,7 +173,7 @@ def proxy_windows(
     numbered = with_position(prepared, keys, order, bits, "_row")
     window_id = F.floor((F.col("_row") - 1) / window_rows).cast("long")
     aggregated = numbered.groupBy(*keys, window_id.alias("window_id")).agg(
-        *_aggregates(source, F.col("_state"), window_rows, finite_number, lambda c: F.size(F.collect_set(c)))
+        *_aggregates(source, "_state", FINITE_NUMBER), *_endpoint_sets(source)
     )
     counts = [f"{c.lower()}_flow_count" for c in STATE_CLASSES]
     start = F.col("window_id") * window_rows

@@ -53,14 +53,18 @@ def join_small(
 
     `small` has at most one row per key.
     """
-    on = list(on)
-    rows = small.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        local = big.sparkSession.createDataFrame(rows, small.schema)
-        return big.join(F.broadcast(local), on, how)
+    local = bounded_rows(small, max_rows)
+    if local is not None:
+        return big.join(F.broadcast(local), list(on), how)
     return salted_join(big, small, on, how)
 
 
+def bounded_rows(small: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame | None:
+    """`small` as local rows when it has at most `max_rows`, else None. At most one row more than that is fetched."""
+    rows = small.limit(max_rows + 1).collect()
+    return small.sparkSession.createDataFrame(rows, small.schema) if len(rows) <= max_rows else None
+
+
 def salted_join(
     big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS
 ) -> DataFrame:

@@ -15,6 +15,11 @@ def build_session(app_name: str = "netstate", master: str | None = None, conf: d
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Plans consist of many small expressions; a Python call site for each one doubles the time to build them.
+        "spark.sql.dataFrameQueryContext.enabled": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
+        # Row-order windows gather sets of at most ten values each; hash aggregation holds many such groups.
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
     }
     settings.update(conf or {})
     for key, value in settings.items():
