@@ -64,16 +64,16 @@ CLOSED = "closed AS (SELECT max(epoch_us(timestamp)) // 1000 * 1000 - {delay} *
         """_a AS (SELECT session_id, w, count(*) AS flow_count, sum(tot_fwd_pkts + tot_bwd_pkts) AS total_packets, sum(syn_flag_cnt) AS syn_count, avg(flow_iat_mean) AS mean_iat,
   coalesce(var_samp(flow_iat_mean), 0) AS iat_variance, max(pkt_len_max) AS max_packet_size, count(*) FILTER (WHERE current_state = 'BENIGN') AS b, count(*) FILTER (WHERE current_state = 'DDoS') AS d,
   count(*) FILTER (WHERE current_state = 'DoS') AS o, count(*) FILTER (WHERE current_state = 'PortScan') AS p FROM _h GROUP BY 1, 2)""")
-    + """SELECT session_id, strftime(make_timestamp(w), '%Y-%m-%d %H:%M:%S.%f') AS window_start, flow_count, total_packets, syn_count, round(mean_iat, 6) AS mean_iat, round(iat_variance, 4) AS iat_variance,
+    + """SELECT session_id, strftime(make_timestamp(w), '%Y-%m-%d %H:%M:%S.%f') AS window_start, flow_count, total_packets, syn_count, round(mean_iat, 6) AS mean_iat, round(sqrt(iat_variance), 6) AS iat_deviation,
   max_packet_size, CASE greatest(b, d, o, p) WHEN b THEN 'BENIGN' WHEN d THEN 'DDoS' WHEN o THEN 'DoS' ELSE 'PortScan' END AS dominant_state FROM _a, closed WHERE b + d + o + p > 0 AND w + 3600000000 <= mark"""
 )
 def stream_states(spark: SparkSession, d: str) -> DataFrame:
     out = _run(stream.state_stream(_flow_stream(spark, d), HOUR))
     out = out.select(
         "session_id", time_text("window_start").alias("window_start"), "flow_count", "total_packets", "syn_count",
-        "mean_iat", "iat_variance", "max_packet_size", "dominant_state",
+        "mean_iat", F.sqrt("iat_variance").alias("iat_deviation"), "max_packet_size", "dominant_state",
     )
-    return rounded(rounded(out, ["mean_iat"]), ["iat_variance"], 4)
+    return rounded(out, ["mean_iat", "iat_deviation"])
 
 
 @query(
