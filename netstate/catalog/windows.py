@@ -191,7 +191,7 @@ def _history_sum():
   FROM sq WHERE len(ids) = 5 AND ids[1] = window_id - 4 AND target_window_id = window_id + 1"""
 )
 def sequences_gap_aware(spark: SparkSession, d: str) -> DataFrame:
-    out = seq.sequences_gap_aware(_states(spark, d).where(GAP), bits=5)
+    out = seq.sequences_gap_aware(window_states(derive_flows(spark, d), HOUR).where(GAP), bits=5)
     return out.select(
         "session_id", joined("input_window_ids").alias("input_window_ids"), _history_sum().alias("history_flows"),
         "target_window_id", "y_dominant_state",
@@ -212,7 +212,7 @@ multi AS (SELECT session_id, session_id || ':' || hist[1] || ':' || fut[6] AS sa
   array_to_string(fa, ',') AS y_alert, list_sum(fc) AS history_flows FROM multi"""
 )
 def multistep_sequences(spark: SparkSession, d: str) -> DataFrame:
-    out = seq.multistep_sequences(_states(spark, d).where(GAP), bits=5)
+    out = seq.multistep_sequences(window_states(derive_flows(spark, d), HOUR).where(GAP), bits=5)
     return out.select(
         "session_id", "sample_id", joined("input_labels").alias("input_labels"), joined("y_dominant").alias("y_dominant"),
         joined("y_alert").alias("y_alert"), _history_sum().alias("history_flows"),
@@ -225,7 +225,7 @@ def multistep_sequences(spark: SparkSession, d: str) -> DataFrame:
   y_packets FROM sq WHERE len(ids) = 5 AND ids[1] = window_id - 4 AND target_window_id = window_id + 1"""
 )
 def next_state_pairs(spark: SparkSession, d: str) -> DataFrame:
-    out = seq.next_state_pairs(_states(spark, d).where(GAP), bits=5)
+    out = seq.next_state_pairs(window_states(derive_flows(spark, d), HOUR).where(GAP), bits=5)
     return out.select("session_id", "target_window_id", "y_class", F.col("y_state")[7].alias("y_packets"))
 
 

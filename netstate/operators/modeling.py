@@ -292,34 +292,58 @@ def rollout(
 
 
 def linear_contributions(vectors: DataFrame, model, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Signed contribution coefficient x input of every feature to the score of the predicted class.
+    """Array `contributions` of (feature, coefficient x input) for the score of the predicted class of every row.
 
-    A vector longer than the feature list is a flattened history; contributions are averaged over its windows.
+    A vector longer than the feature list is a flattened history; contributions are averaged over its windows. The
+    arrays are built row by row, nothing is shuffled.
     """
-    scored = model.transform(vectors).withColumns({"_class": F.col("prediction").cast("int"), "_x": vector_to_array("features")})
+    scored = model.transform(vectors).withColumns(
+        {"_class": F.col("prediction").cast("int"), "_x": vector_to_array("features")}
+    )
     coefficients = F.array(*[F.array(*[F.lit(float(c)) for c in row]) for row in model.coefficientMatrix.toArray()])
     products = F.zip_with("_x", F.get(coefficients, F.col("_class")), lambda x, c: x * c)
-    names = F.array(*[F.lit(f) for f in features])
-    exploded = scored.select(*keep, F.posexplode(products).alias("_i", "_v"))
-    return exploded.groupBy(*keep, F.get(names, F.col("_i") % len(features)).alias("feature")).agg(F.avg("_v").alias("contribution"))
+    windows = model.numFeatures // len(features)
+    entries = []
+    for j, name in enumerate(features):
+        total = F.get("_v", F.lit(j))
+        for w in range(1, windows):
+            total = total + F.get("_v", F.lit(w * len(features) + j))
+        entries.append(F.struct(F.lit(name).alias("feature"), (total / windows).alias("contribution")))
+    return scored.withColumn("_v", products).select(*keep, F.array(*entries).alias("contributions"))
 
 
-def ranked_contributions(contributions: DataFrame) -> DataFrame:
-    """Contributions by size with their direction."""
-    direction = F.when(F.col("contribution") >= 0, F.lit("increase")).otherwise(F.lit("decrease"))
-    return contributions.withColumn("direction", direction).orderBy(F.desc(F.abs("contribution")), "feature")
+def _by_size(contributions: Column) -> Column:
+    """Contributions by falling size, equal sizes by name."""
+    keyed = F.transform(
+        contributions, lambda c: F.struct((-F.abs(c["contribution"])).alias("s"), c["feature"].alias("f"), c["contribution"].alias("c"))
+    )
+    return F.transform(F.array_sort(keyed), lambda k: F.struct(k["f"].alias("feature"), k["c"].alias("contribution")))
 
 
-def top_features(contributions: DataFrame, keys: Sequence[str], k: int = 8) -> DataFrame:
-    """The k largest contributions of every row; a row has one entry per feature."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(F.abs("contribution")), "feature")
-    ranked = contributions.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.withColumn("contribution", F.round("contribution", 6))
+def ranked_contributions(contributions: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """One row per contribution with its rank and direction."""
+    rows = contributions.select(*keep, F.posexplode(_by_size(F.col("contributions"))).alias("_i", "_c"))
+    value = F.col("_c.contribution")
+    direction = F.when(value >= 0, F.lit("increase")).otherwise(F.lit("decrease"))
+    return rows.select(
+        *keep, (F.col("_i") + 1).alias("rank"), F.col("_c.feature").alias("feature"), value.alias("contribution"),
+        direction.alias("direction"),
+    )
+
+
+def top_features(contributions: DataFrame, keep: Sequence[str], k: int = 8) -> DataFrame:
+    """The k largest contributions of every row, rounded."""
+    top = F.slice(_by_size(F.col("contributions")), 1, k)
+    rows = contributions.select(*keep, F.posexplode(top).alias("_i", "_c"))
+    return rows.select(
+        *keep, (F.col("_i") + 1).alias("rank"), F.col("_c.feature").alias("feature"),
+        F.round("_c.contribution", 6).alias("contribution"),
+    )
 
 
 def driving_features(contributions: DataFrame, k: int = 10) -> DataFrame:
     """Mean absolute and mean signed contribution per feature over all rows, the k largest."""
-    grouped = contributions.groupBy("feature").agg(
+    grouped = contributions.select(F.inline("contributions")).groupBy("feature").agg(
         F.avg(F.abs("contribution")).alias("_abs"),
         F.round(F.avg(F.abs("contribution")), 6).alias("mean_abs_contribution"),
         F.round(F.avg("contribution"), 6).alias("mean_signed_contribution"),

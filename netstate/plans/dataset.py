@@ -103,11 +103,9 @@ def prepare_dataset(
     timed = parse_timestamps(flows, source_time, "_parsed").drop(source_time).withColumnRenamed("_parsed", "timestamp")
     window_states(timed, window_seconds, state, keys=keys).write.mode("overwrite").parquet(f"{output}/states")
     states = spark.read.parquet(f"{output}/states")
-    if not insufficient_data(timed, states, length, window_seconds, keys).join(
-        states.groupBy(*keys).count(), list(keys), "left_semi"
-    ).isEmpty() and states.groupBy(*keys).count().where(F.col("count") > length).isEmpty():
-        report = insufficient_data(timed, states, length, window_seconds, keys).first()
-        raise ValueError(report["message"])
+    if states.groupBy(*keys).count().where(F.col("count") > length).isEmpty():
+        report = insufficient_data(timed, states, length, window_seconds, keys).orderBy(*keys).first()
+        raise ValueError(report["message"] if report else "The source has no timed flows.")
     gates = audits.build_gates(timed, assign_windows(timed, window_seconds, keys=keys), states, keys=keys)
     failed = [row["gate"] for row in gates.where(~F.col("passed")).collect()]
     if failed:

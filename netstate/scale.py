@@ -68,10 +68,21 @@ def bounded_rows(small: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame
 def salted_join(
     big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS
 ) -> DataFrame:
-    """Equi join that spreads each key of `big` over `salts` partitions; `small` is repeated once per salt."""
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(repeated, [*on, "_salt"], how).drop("_salt")
+    """Equi join of a large table with a summary too large to broadcast, safe for keys that own much of `big`.
+
+    Keys with more than 0.1 % of the rows, of which there are fewer than a thousand, are spread over `salts`
+    partitions; their rows of `small` are repeated once per salt. All other keys are joined as they are.
+    """
+    on = list(on)
+    total = big.count()
+    heavy = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > F.lit(total / 1000))
+    heavy = heavy.select(*on, F.lit(True).alias("_hot"))
+    hot = F.broadcast(big.sparkSession.createDataFrame(heavy.collect(), heavy.schema))
+    row_salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int")
+    spread = big.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), row_salt).otherwise(F.lit(0)))
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = small.join(hot, on, "left").withColumn("_salt", F.explode(copies))
+    return spread.drop("_hot").join(repeated.drop("_hot"), [*on, "_salt"], how).drop("_salt")
 
 
 def with_position(

@@ -50,7 +50,8 @@ def test_contributions(spark):
     out = ml.linear_contributions(vectors.select("id", "features"), model, ["x", "y"], ["id"])
     assert ml.driving_features(out).first()["feature"] == "x"
     assert ml.top_features(out, ["id"], 1).where("feature = 'y' and id % 2 = 1").isEmpty()
-    assert ml.ranked_contributions(out.where("id = 1")).first()["direction"] == "increase"
+    first = ml.ranked_contributions(out.where("id = 1"), ["id"]).orderBy("rank").first()
+    assert (first["feature"], first["direction"]) == ("x", "increase")
 
 
 def test_forecast_and_rollout(spark):

@@ -51,6 +51,15 @@ def test_join_small_agrees_below_and_above_the_bound(spark):
     )
 
 
+def test_salted_join_keeps_every_row_of_hot_and_rare_keys(spark):
+    big = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"), "id")
+    small = spark.range(-1, 2000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for how in ("left", "inner"):
+        got = scale.salted_join(big, small, ["k"], how, salts=4)
+        want = big.join(small, ["k"], how)
+        assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
 def test_halo_repeats_only_border_rows(spark):
     df = spark.range(0, 32).withColumnRenamed("id", "o")
     chunked = scale.with_halo(df, "o", 2, 1, bits=3)
