@@ -298,14 +298,14 @@ def capture_summary(spark: SparkSession, d: str) -> DataFrame:
     + """SELECT CASE WHEN forward THEN ip_a ELSE ip_b END AS src_ip, CASE WHEN forward THEN port_a ELSE port_b END AS src_port, CASE WHEN forward THEN ip_b ELSE ip_a END AS dst_ip,
   CASE WHEN forward THEN port_b ELSE port_a END AS dst_port, protocol, flow_no, CAST(z - a AS DOUBLE) AS flow_duration, CASE WHEN forward THEN na ELSE n - na END AS tot_fwd_pkts,
   CASE WHEN forward THEN n - na ELSE na END AS tot_bwd_pkts, CAST(CASE WHEN forward THEN ba ELSE b - ba END AS BIGINT) AS totlen_fwd_pkts,
-  CAST(CASE WHEN forward THEN b - ba ELSE ba END AS BIGINT) AS totlen_bwd_pkts, round(coalesce(gm, 0), 3) AS flow_iat_mean, round(coalesce(gs, 0) / 1000, 2) AS flow_iat_std,
+  CAST(CASE WHEN forward THEN b - ba ELSE ba END AS BIGINT) AS totlen_bwd_pkts, round(coalesce(gm, 0)) AS flow_iat_mean, round(coalesce(gs, 0) / 1000, 2) AS flow_iat_std,
   CAST(coalesce(gx, 0) AS DOUBLE) AS flow_iat_max, CAST(coalesce(gn, 0) AS DOUBLE) AS flow_iat_min, syn AS syn_flag_cnt, round(b / n, 6) AS pkt_size_avg, CAST(mx AS INT) AS pkt_len_max FROM g"""
 )
 def flow_assembly(spark: SparkSession, d: str) -> DataFrame:
     out = pk.assemble_flows(derive_packets(spark, d), idle_seconds=30 * 86400, bits=44)
     return out.select(
         "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "flow_no", "flow_duration", "tot_fwd_pkts", "tot_bwd_pkts",
-        "totlen_fwd_pkts", "totlen_bwd_pkts", F.round("flow_iat_mean", 3).alias("flow_iat_mean"),
+        "totlen_fwd_pkts", "totlen_bwd_pkts", F.round("flow_iat_mean").alias("flow_iat_mean"),
         F.round(F.col("flow_iat_std") / 1000, 2).alias("flow_iat_std"), "flow_iat_max", "flow_iat_min", "syn_flag_cnt",
         F.round("pkt_size_avg", 6).alias("pkt_size_avg"), "pkt_len_max",
     )

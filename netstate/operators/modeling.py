@@ -372,9 +372,10 @@ def stratified_sample(rows: DataFrame, label: str, row_id: str, size: int = 100,
 
     The rank filter runs before the shuffle, so a class sends at most its allocation per task.
     """
-    counts = {r[label]: r["count"] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
-    if not counts:
-        raise ValueError("A sample needs labelled rows.")
+    counted = rows.where(F.col(label).isNotNull()).groupBy(label).count().limit(size + 1).collect()
+    counts = {r[label]: r["count"] for r in counted}
+    if not 0 < len(counts) <= size:
+        raise ValueError(f"A stratified sample of {size} rows needs between 1 and {size} classes.")
     share = sample_allocation(counts, size)
     order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col(row_id)), row_id)
     wanted = F.coalesce(*[F.when(F.col(label) == c, F.lit(n)) for c, n in share.items()])
