@@ -107,7 +107,11 @@ def technique_dimension(spark: SparkSession) -> DataFrame:
 
 def general_number(column: Column) -> Column:
     """A number with six significant digits, without trailing zeros and in scientific form when very large or small."""
-    text = F.format_string("%.5e", F.abs(column))
+    return number_text(column, F.format_string("%.5e", F.abs(column)))
+
+
+def number_text(column: Column, text: Column) -> Column:
+    """:func:`general_number` from the scientific text of the absolute value, which is used many times."""
     exponent = F.substring_index(text, "e", -1).cast("int")
     digits = F.regexp_replace(F.substring_index(text, "e", 1), r"\.", "")
     whole = F.concat(F.substring(digits, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, F.lit(6)))
@@ -126,36 +130,43 @@ def general_number(column: Column) -> Column:
     return F.when(column == 0, F.lit("0")).otherwise(F.concat(F.when(column < 0, F.lit("-")).otherwise(F.lit("")), plain))
 
 
+EVIDENCE_FEATURES = [
+    "flow_count", "unique_dst_port_count", "flows_per_second", "packets_per_second", "syn_count", "rst_count",
+]
+
+
+def _with_evidence_numbers(rows: DataFrame) -> DataFrame:
+    """Cleaned window features `_v_*` and their texts `_n_*`, each computed once per row."""
+    rows = rows.withColumns({f"_v_{n}": F.coalesce(finite_number(F.col(n)), F.lit(0.0)) for n in EVIDENCE_FEATURES})
+    rows = rows.withColumns({f"_e_{n}": F.format_string("%.5e", F.abs(f"_v_{n}")) for n in EVIDENCE_FEATURES})
+    return rows.withColumns({f"_n_{n}": number_text(F.col(f"_v_{n}"), F.col(f"_e_{n}")) for n in EVIDENCE_FEATURES})
+
+
 def _behaviour(state: Column) -> Column:
     """Evidence texts that the window features give for a state."""
-    value = {
-        name: F.coalesce(finite_number(F.col(name)), F.lit(0.0))
-        for name in (
-            "flow_count", "unique_dst_port_count", "flows_per_second", "packets_per_second", "syn_count", "rst_count",
-        )
-    }
+    value = {n: F.col(f"_v_{n}") for n in EVIDENCE_FEATURES}
     ports, flows, syn = value["unique_dst_port_count"], value["flow_count"], value["syn_count"]
 
-    def told(template: str, number: Column) -> Column:
+    def told(template: str, name: str) -> Column:
         before, after = template.split("{}")
-        return F.concat(F.lit(before), general_number(number), F.lit(after))
+        return F.concat(F.lit(before), F.col(f"_n_{name}"), F.lit(after))
 
     scan = F.array(
-        F.when(ports >= 10, told("destination-port diversity is elevated ({} unique ports)", ports)),
+        F.when(ports >= 10, told("destination-port diversity is elevated ({} unique ports)", "unique_dst_port_count")),
         F.when(
             (flows > 0) & (ports / F.nullif(flows, F.lit(0.0)) >= 0.5),
             F.lit("destination-port diversity spans at least half of observed flows"),
         ),
         F.when(
-            syn >= F.greatest(F.lit(5.0), flows * 0.5), told("repeated SYN behavior is present ({} SYN flags)", syn)
+            syn >= F.greatest(F.lit(5.0), flows * 0.5), told("repeated SYN behavior is present ({} SYN flags)", "syn_count")
         ),
     )
     rate, packets, rst = value["flows_per_second"], value["packets_per_second"], value["rst_count"]
     flood = F.array(
-        F.when(rate >= 10, told("connection rate is elevated ({} flows/s)", rate)),
-        F.when(packets >= 100, told("packet rate is elevated ({} packets/s)", packets)),
-        F.when(syn >= 20, told("high SYN volume is present ({} SYN flags)", syn)),
-        F.when(rst >= 10, told("high RST volume is present ({} RST flags)", rst)),
+        F.when(rate >= 10, told("connection rate is elevated ({} flows/s)", "flows_per_second")),
+        F.when(packets >= 100, told("packet rate is elevated ({} packets/s)", "packets_per_second")),
+        F.when(syn >= 20, told("high SYN volume is present ({} SYN flags)", "syn_count")),
+        F.when(rst >= 10, told("high RST volume is present ({} RST flags)", "rst_count")),
     )
     return F.array_compact(F.when(state == "PortScan", scan).otherwise(flood))
 
@@ -165,9 +176,15 @@ def with_forecast_context(forecasts: DataFrame, probabilities: Sequence[str] = P
     values = [F.coalesce(F.col(p), F.lit(0.0)) for p in probabilities]
     share = dict(zip(STATE_CLASSES, values))
     current = F.col("current_state")
-    predicted, best = argmax_label(values, STATE_CLASSES), F.greatest(*values)
+    forecasts = forecasts.withColumns(
+        {"predicted_next_state": argmax_label(values, STATE_CLASSES), "forecast_probability": F.greatest(*values)}
+    )
+    predicted, best = F.col("predicted_next_state"), F.col("forecast_probability")
     attacks_now, attacks_next = current.isin(ATTACK_CLASSES), predicted.isin(ATTACK_CLASSES)
-    guided = F.when(attacks_now, current).when(attacks_next & (best >= 0.50), predicted)
+    forecasts = forecasts.withColumn(
+        "_guided", F.when(attacks_now, current).when(attacks_next & (best >= 0.50), predicted)
+    )
+    guided = F.col("_guided")
     quiet = (current == "BENIGN") & (predicted == "BENIGN") & (1.0 - share["BENIGN"] < 0.50)
     order = list(STATE_TECHNIQUES)
     fallback = argmax_label([share[s] for s in order], order)
@@ -186,8 +203,6 @@ def with_forecast_context(forecasts: DataFrame, probabilities: Sequence[str] = P
 
     return forecasts.withColumns(
         {
-            "predicted_next_state": predicted,
-            "forecast_probability": best,
             "attack_present": attacks_now,
             "severity": guidance(0),
             "operator_guidance": guidance(1),
@@ -197,7 +212,7 @@ def with_forecast_context(forecasts: DataFrame, probabilities: Sequence[str] = P
             ),
             "examined_states": F.when(~silent, examined).otherwise(F.array().cast("array<string>")),
         }
-    )
+    ).drop("_guided")
 
 
 def attack_candidates(
@@ -209,7 +224,10 @@ def attack_candidates(
     as not. The technique table has six rows, so it is broadcast.
     """
     share = F.coalesce(*[F.when(F.col("state") == c, F.coalesce(F.col(p), F.lit(0.0))) for c, p in zip(STATE_CLASSES, probabilities)])
-    rows = with_forecast_context(forecasts, probabilities).withColumn("state", F.explode("examined_states"))
+    rows = _with_evidence_numbers(with_forecast_context(forecasts, probabilities))
+    # The outer form keeps silent forecasts with a NULL state, which the technique join drops; the plain form would push
+    # a copy of the whole state expression down as a filter.
+    rows = rows.withColumn("state", F.explode_outer("examined_states"))
     rows = rows.withColumns({"_behaviour": _behaviour(F.col("state")), "_share": share})
     is_current = F.col("current_state") == F.col("state")
     likely = F.col("_share") >= 0.50
