@@ -89,9 +89,10 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     lines = stage(text_lines(docs, key, text, least_words))
     doc = Window.partitionBy("id", "th").orderBy("pos")
     level, rows = 0, lines.join(ranked(lines, "hi", "lo"), ["hi", "lo"]).drop("hi", "lo").distinct()
-    windows = []
+    windows, single = [], None
     while True:
         rows = stage(rows)
+        single = rows if single is None else single
         span = 1 << level
         # A run that starts here, and the ranks of its first and last lines; then the same for runs that end here.
         ranks = rows.select(F.col("id").alias("i2"), F.col("th").alias("t2"), F.col("pos").alias("p2"), F.col("rank").alias("r2"))
@@ -99,7 +100,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
         starting = rows.where(sized("ahead")).select("id", "th", F.col("pos").alias("start"), F.col("ahead").alias("n"), F.col("rank").alias("r1"))
         tail = (F.col("i2").eqNullSafe(F.col("id"))) & (F.col("t2") == F.col("th")) & (F.col("p2") == F.col("start") + F.col("n") - span)
         windows.append(starting.join(ranks, tail).select("id", "th", "start", "n", "r1", "r2"))
-        ends_here = rows.where(sized("back")).select("id", "th", (F.col("pos") - F.col("back") + 1).alias("start"), F.col("back").alias("n"))
+        ends_here = single.where(sized("back")).select("id", "th", (F.col("pos") - F.col("back") + 1).alias("start"), F.col("back").alias("n"))
         heads = rows.select(F.col("id").alias("i1"), F.col("th").alias("t1"), F.col("pos").alias("p1"), F.col("rank").alias("r1"))
         head = (F.col("i1").eqNullSafe(F.col("id"))) & (F.col("t1") == F.col("th")) & (F.col("p1") == F.col("start"))
         windows.append(ends_here.join(heads, head).join(ranks, tail).select("id", "th", "start", "n", "r1", "r2"))

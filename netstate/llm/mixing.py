@@ -25,6 +25,7 @@ MOST_TIMES = 3
 SHARDS = 16
 BLOCKS_PER_SHARD = 2048
 BUCKETS = 4096
+FILL_ROUNDS = 3
 
 
 def n_words(text: str | Column) -> Column:
@@ -121,12 +122,13 @@ def mix_sources(
     words = F.col("size") * F.col("rows")
     placed = running(units, words, "before").join(plan, "src")
     placed = stage(placed.withColumn("in_part", F.col("before") + words <= F.col("part")))
-    # What the part pass leaves open is filled with later texts that fit.
-    left = placed.groupBy("src").agg((F.first("part") - F.sum(F.when(F.col("in_part"), words).otherwise(0))).alias("open"))
-    fitting = placed.join(left, "src").withColumn("fits", ~F.col("in_part") & (words <= F.col("open")))
-    filled = running(fitting, F.when(F.col("fits"), words).otherwise(F.lit(0)), "used")
-    filler = F.col("fits") & (F.col("used") + words <= F.col("open"))
-    copies = F.col("passes") + (F.col("in_part") | filler).cast("long")
+    for _ in range(FILL_ROUNDS):  # what the part pass leaves open is filled with other texts that fit, the first ones in order
+        left = placed.groupBy("src").agg((F.first("part") - F.sum(F.when(F.col("in_part"), words).otherwise(0))).alias("open"))
+        fitting = placed.join(left, "src").withColumn("fits", ~F.col("in_part") & (words <= F.col("open")))
+        filled = running(fitting, F.when(F.col("fits"), words).otherwise(F.lit(0)), "used")
+        filler = F.col("fits") & (F.col("used") + words <= F.col("open"))
+        placed = stage(filled.withColumn("in_part", F.col("in_part") | filler).drop("open", "fits", "used"))
+    copies = F.col("passes") + F.col("in_part").cast("long")
     block = F.least(F.floor((F.col("before") + words / 2) / F.col("block_words")), F.greatest(F.col("blocks") - 1, F.lit(0)))
 
     def shard(number: Column) -> Column:
@@ -134,7 +136,7 @@ def mix_sources(
         dealt = F.size(F.filter("bounds", lambda b: b <= index))
         return F.when(dealt < shards, dealt).otherwise(F.pmod(F.col("unit"), F.lit(shards)).cast("int"))
 
-    decided = filled.withColumn("copies", copies).withColumn("block", block)
+    decided = placed.withColumn("copies", copies).withColumn("block", block)
     numbers = F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.array().cast("array<bigint>"))
     return decided.select(
         F.col("id").alias(key), F.col("source").alias(source), "unit", "rows", "size", "source_size", "target", "copies",
