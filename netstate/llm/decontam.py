@@ -25,6 +25,9 @@ from netstate.scale import stage
 EDITS = 0.2
 LEAST_WORDS = 5
 RECALL = 0.97
+MOST_REPETITIONS = 256
+#: A shifted window counts as worse if it shares more than so many pairs less.
+SLACK = 2
 SAMPLES = 2
 PAIR_BITS = 22
 SIZED_BITS = 26
@@ -55,22 +58,40 @@ def allowed(n: int, edits: float) -> int:
     return int(edits * n + 1e-9)
 
 
-def random_bits(step: int, repetition: int, words: np.ndarray) -> np.ndarray:
-    return (T.mix(words + np.uint64((repetition * 7919 + step) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) & np.uint64(1)).astype(np.int64)
+def padded(windows: list[np.ndarray], longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of several sizes in one array, with zeros behind them and at least one at the end; and their sizes."""
+    sizes = np.concatenate([np.full(len(w), w.shape[1]) for w in windows])
+    out = np.zeros((len(sizes), longest + 1), np.uint64)
+    at = 0
+    for w in windows:
+        out[at : at + len(w), : w.shape[1]] = w
+        at += len(w)
+    return out, sizes
 
 
-def embedding_hashes(windows: np.ndarray, repetition: int, samples: int) -> np.ndarray:
-    """Hash of the sampled places of the embedding of every window (rows of equal size)."""
-    count, n = windows.shape
-    padded = np.concatenate([windows, np.zeros((count, 1), np.uint64)], 1)
-    places = set(np.random.default_rng([n, repetition, 17]).choice(2 * n, min(samples, 2 * n), replace=False).tolist())
-    at, rows = np.zeros(count, np.int64), np.arange(count)
-    out = np.full(count, (n * 1_000_003 + repetition) & 0xFFFFFFFF, np.uint64)
-    for step in range(max(places) + 1):
-        word = padded[rows, at]
-        if step in places:
-            out = T.pair(out, word)
-        at = np.minimum(at + random_bits(step, repetition, word), n)
+def embedding_hashes(windows: np.ndarray, sizes: np.ndarray, repetition: int, samples: int) -> np.ndarray:
+    """Hash of the sampled places of the embedding of every window; windows as `padded` gives them.
+
+    The embedding of n words has 2n places. Whether a step moves on is the top bit of the word's hash times a random
+    odd number of this step and repetition.
+    """
+    shares = np.random.default_rng([repetition, 17]).random(samples)
+    longest = int(sizes.max(initial=0))
+    steps = np.arange(2 * longest + 1, dtype=np.uint64) + np.uint64(repetition << 32)
+    factors = T.mix(steps) | np.uint64(1)
+    places = [(share * 2 * sizes).astype(np.int64) for share in shares]
+    found = [np.zeros(len(sizes), np.uint64) for _ in shares]
+    at, rows = np.zeros(len(sizes), np.int64), np.arange(len(sizes)) * windows.shape[1]
+    flat = windows.ravel()
+    for step in range(max((int(p.max(initial=0)) for p in places), default=0) + 1):
+        word = flat[rows + at]
+        for place, held in zip(places, found):
+            np.copyto(held, word, where=place == step)
+        at += ((word * factors[step]) >> np.uint64(63)).astype(np.int64)
+        np.minimum(at, sizes, out=at)
+    out = T.mix(sizes.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(repetition))
+    for held in found:
+        out = T.pair(out, held)
     return out
 
 
@@ -91,21 +112,25 @@ def repetitions_for(sizes: list[int], edits: float, samples: int, recall: float,
     """Repetitions that find this share of windows with as many edits as allowed, on random words with random edits."""
     rng = np.random.default_rng(seed)
     chosen = [sizes[i] for i in np.unique(np.linspace(0, len(sizes) - 1, 8).astype(int))] if sizes else []
-    trials = []
+    if not chosen:
+        return 1
+    first, second = [], []
     for n in chosen:
         items = rng.integers(1, 1 << 62, (40, n), dtype=np.uint64)
         copies = items.copy()
         for i in range(len(items)):
             where = rng.choice(n, allowed(n, edits), replace=False)
             copies[i, where] = rng.integers(1, 1 << 62, len(where), dtype=np.uint64)
-        trials.append((items, copies, np.zeros(len(items), bool)))
-    total = sum(len(t[2]) for t in trials)
-    for repetition in range(1, 257):
-        for items, copies, hit in trials:
-            hit |= embedding_hashes(items, repetition - 1, samples) == embedding_hashes(copies, repetition - 1, samples)
-        if sum(t[2].sum() for t in trials) >= recall * total:
-            return repetition
-    return 256
+        first.append(items)
+        second.append(copies)
+    items, sizes = padded(first, max(chosen))
+    copies, _ = padded(second, max(chosen))
+    hit = np.zeros(len(sizes), bool)
+    for repetition in range(MOST_REPETITIONS):
+        hit |= embedding_hashes(items, sizes, repetition, samples) == embedding_hashes(copies, sizes, repetition, samples)
+        if hit.mean() >= recall:
+            return repetition + 1
+    return MOST_REPETITIONS
 
 
 def item_rows(items: DataFrame, key: str, text: str, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -144,7 +169,8 @@ def item_keys(items: DataFrame, repetitions: int, samples: int) -> DataFrame:
             at, keys = [], []
             for i, words in enumerate(batch.column("words")):
                 window = np.array(words.as_py(), np.int64).view(np.uint64)[None]
-                keys += [embedding_hashes(window, r, samples)[0] for r in range(repetitions)]
+                one, size = padded([window], window.shape[1])
+                keys += [embedding_hashes(one, size, r, samples)[0] for r in range(repetitions)]
                 at += [i] * repetitions
             taken = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays(
@@ -202,8 +228,19 @@ def prepare(items: DataFrame, edits: float = EDITS, samples: int = SAMPLES, reca
     return search, keys
 
 
+def nearby_most(starts: np.ndarray, values: np.ndarray, reach: int) -> np.ndarray:
+    """For each of the sorted starts the greatest value within `reach` words."""
+    low = np.searchsorted(starts, starts - reach)
+    high = np.searchsorted(starts, starts + reach, "right")
+    bounded = np.append(values, -1)
+    return np.maximum.reduceat(bounded, np.stack([low, high], 1).ravel())[::2]
+
+
 def candidate_windows(words: np.ndarray, ends: np.ndarray, search: Search):
-    """(start, size) of the windows that share enough pairs with the items of their size."""
+    """(start, size) of the windows that share enough pairs with the items of their size.
+
+    Of windows that differ by a shift within the allowed edits, those that share clearly fewer pairs are left out.
+    """
     m = len(words)
     if m < 2 or not search.sizes:
         return
@@ -231,9 +268,12 @@ def candidate_windows(words: np.ndarray, ends: np.ndarray, search: Search):
             for a in range(0, len(own), 20_000):
                 part = own[a : a + 20_000]
                 inside = pairs[part[:, None] + np.arange(n - 1)]
-                good = is_set(search.sized, _sized(inside, n)).sum(1) >= need[n]
+                shared = is_set(search.sized, _sized(inside, n)).sum(1)
+                good = shared >= need[n]
                 if good.any():
-                    yield part[good], n
+                    part, shared = part[good], shared[good]
+                    best = shared >= nearby_most(part, shared, allowed(n, search.edits)) - SLACK
+                    yield part[best], n
         i = j + 1
 
 
@@ -253,23 +293,35 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
     def scan(batches):
         s = sent.value
+        longest = max(s.sizes, default=0)
         for batch in batches:
-            rows, starts, sizes, keys_, held = [], [], [], [], []
+            rows, starts, windows = [], [], []
             for first, words, ends in words_of(batch.column("t")):
                 for at, n in candidate_windows(words, ends, s):
-                    windows = words[at[:, None] + np.arange(n)]
                     home = np.searchsorted(ends, at, "right") - 1
-                    for r in range(s.repetitions):
-                        found = embedding_hashes(windows, r, s.samples)
-                        hit = np.flatnonzero(is_set(s.keys, found >> np.uint64(64 - KEY_BITS)))
-                        rows += (first + home[hit]).tolist()
-                        starts += (at[hit] - ends[home[hit]]).tolist()
-                        sizes += [n] * len(hit)
-                        keys_ += found[hit].view(np.int64).tolist()
-                        held += windows[hit].view(np.int64).tolist()
+                    rows.append(first + home)
+                    starts.append(at - ends[home])
+                    windows.append(words[at[:, None] + np.arange(n)])
+                if sum(map(len, rows)) > 50_000:
+                    yield from hashed(s, batch, rows, starts, windows, longest)
+                    rows, starts, windows = [], [], []
+            if rows:
+                yield from hashed(s, batch, rows, starts, windows, longest)
+
+    def hashed(s, batch, rows, starts, windows, longest):
+        held, sizes = padded(windows, longest)
+        rows, starts = np.concatenate(rows), np.concatenate(starts)
+        for r in range(s.repetitions):
+            keys_ = embedding_hashes(held, sizes, r, s.samples)
+            hit = np.flatnonzero(is_set(s.keys, keys_ >> np.uint64(64 - KEY_BITS)))
+            n = sizes[hit]
+            inside = np.arange(held.shape[1]) < n[:, None]
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(held[hit][inside].view(np.int64))
+            )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()),
-                 pa.array(keys_, pa.int64()), pa.array(held, pa.list_(pa.int64()))], ["id", "start", "n", "key", "window"],
+                [batch.column("id").take(pa.array(rows[hit])), pa.array(starts[hit]), pa.array(n.astype(np.int32)),
+                 pa.array(keys_[hit].view(np.int64)), lists], ["id", "start", "n", "key", "window"],
             )
 
     def verify(batches):

@@ -127,7 +127,7 @@ def test_decontamination_equals_brute_force(spark):
 
 
 def test_embedding_turns_few_edits_into_few_differences():
-    assert decontam.repetitions_for([20, 40, 60], 0.0, 2, 0.97) == 1
+    assert decontam.repetitions_for([20, 40, 60], 0.0, 2, 0.97) == 1 and decontam.repetitions_for([], 0.2, 2, 0.97) == 1
     assert 3 < decontam.repetitions_for([20, 40, 60], 0.2, 2, 0.97) < 100
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 3, (2, 200, 12)).astype(np.uint64)
