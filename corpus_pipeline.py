@@ -27,16 +27,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least doc_id, once."""
-    found = simhash.near_duplicates(docs)
-    least = stage(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct())
-    kept = docs.join(least, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if least.isEmpty() or _repeats(docs) else kept
-
-
-def _repeats(docs: DataFrame) -> bool:
-    """Whether a doc_id occurs twice."""
-    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    """One document of each group of near-duplicates: the one with the least doc_id (null last), then the least hash of its text.
+
+    Of rows equal in both, one stays.
+    """
+    own = docs.withColumn("_th", F.xxhash64("text"))
+    found = stage(simhash.near_duplicates(own, keep=("_th",)))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("first"))
+    chosen = first.select(F.col("first.doc_id").alias("_id"), F.col("first._th").alias("_hash"))
+    kept = own.join(chosen, own["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_hash")), "left_semi")
+    repeated = not found.groupBy("doc_id", "_th").count().where("count > 1").isEmpty()
+    return (kept.dropDuplicates(["doc_id", "_th"]) if repeated else kept).drop("_th")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

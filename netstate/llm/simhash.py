@@ -213,7 +213,7 @@ def near_links(prints: DataFrame, column: str = "fingerprint", radius: int = RAD
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, fingerprint, component_id and `keep` of every row.
+    """key, `keep`, fingerprint, component_id and root of every row; root is the least fingerprint of the component.
 
     Rows whose fingerprints differ in at most `radius` bits are linked; component_id is the least key that links lead to
     (null only if no row of the component has a key). Equal rows get equal results. An empty table gives no rows.
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     joined = prints.join(roots, prints["fingerprint"] == roots["node"], "left")
     joined = joined.select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     classes = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = stage(joined.join(classes, "root").select("fingerprint", "component_id"))
+    linked = stage(joined.join(classes, "root").select("fingerprint", "component_id", "root"))
     return join_classes(rows, linked, [key, *keep])
 
 
@@ -233,10 +233,10 @@ def join_classes(rows: DataFrame, classes: DataFrame, columns: list[str]) -> Dat
     thousand, are looked up in a small table, all others by an ordinary join."""
     total = rows.count()
     counts = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > F.lit(max(1000, total // 1000)))
-    hot = F.broadcast(counts.join(classes, "fingerprint").select("fingerprint", F.struct("component_id").alias("found")))
+    hot = F.broadcast(counts.join(classes, "fingerprint").select("fingerprint", F.struct("component_id", "root").alias("found")))
     split = rows.join(hot, "fingerprint", "left")
-    names = [*columns, "fingerprint", "component_id"]
-    easy = split.where("found is not null").select(*columns, "fingerprint", F.col("found.component_id").alias("component_id"))
+    names = [*columns, "fingerprint", "component_id", "root"]
+    easy = split.where("found is not null").select(*columns, "fingerprint", "found.component_id", "found.root")
     other = split.where("found is null").drop("found").join(classes, "fingerprint").select(*names)
     return easy.union(other)
 

@@ -51,3 +51,5 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     kept = [r.doc_id for r in pipeline.near_dedup(spark, docs, SF).collect()]
     assert len(kept) == len(set(kept))
     assert 10 in kept and 11 not in kept and 0 in kept and 1 not in kept
+    unknown = docs.where("doc_id in (4, 7, 9)").withColumn("doc_id", F.lit(None).cast("long"))
+    assert pipeline.near_dedup(spark, unknown.union(unknown), SF).count() == 3
