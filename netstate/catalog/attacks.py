@@ -121,12 +121,14 @@ def signature_states(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_ctes(*SIGNATURE_CTES, WALKS)
-    + """SELECT CASE state WHEN 'DDoS' THEN 'rolling-source-fanin-flood' ELSE 'rolling-single-source-syn-flood' END AS rule, state, CAST(n AS BIGINT) AS flow_count FROM evidence WHERE state IS NOT NULL
-  UNION ALL SELECT 'syn-flood', 'DoS', count(*) FROM flows WHERE syn_flag_cnt >= 20 AND ack_flag_cnt <= syn_flag_cnt * 0.2E0 AND flow_pkts_s >= 700
-  UNION ALL SELECT 'port-sweep', 'PortScan', flow_count FROM sweeps"""
+    + """SELECT CASE state WHEN 'DDoS' THEN 'rolling-source-fanin-flood' ELSE 'rolling-single-source-syn-flood' END AS rule, state, CAST(n AS BIGINT) AS flow_count,
+  CASE state WHEN 'DDoS' THEN printf('%d concurrent sources -> %s at %.0f observed packets/s', unique_sources, victim, round(rate, 4)) ELSE printf('single source -> %s at %.0f observed packets/s', victim, round(rate, 4)) END AS detail
+  FROM evidence WHERE state IS NOT NULL
+  UNION ALL SELECT 'syn-flood', 'DoS', count(*), printf('%d flow(s) with SYN>=20, few ACKs, >=700 pkts/s', count(*)) FROM flows WHERE syn_flag_cnt >= 20 AND ack_flag_cnt <= syn_flag_cnt * 0.2E0 AND flow_pkts_s >= 700
+  UNION ALL SELECT 'port-sweep', 'PortScan', flow_count, printf('%s -> %s: %d distinct ports, %s order, %.0f avg fwd bytes', src, dst, unique_ports, pattern, mean_fwd_bytes) FROM sweeps JOIN patterns USING (src, dst)"""
 )
 def signature_hits(spark: SparkSession, d: str) -> DataFrame:
-    return sig.signature_hits(derive_flows(spark, d), FLOOD, SYN, SWEEP).select("rule", "state", "flow_count")
+    return sig.signature_hits(derive_flows(spark, d), FLOOD, SYN, SWEEP).select("rule", "state", "flow_count", "detail")
 
 
 @query(
@@ -243,10 +245,10 @@ def packet_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    with_ctes(PACKETS, KEYED) + f"SELECT {KEY}, count(*) AS packet_count FROM keyed GROUP BY ALL ORDER BY packet_count DESC, {KEY} LIMIT 50"
+    with_ctes(PACKETS, KEYED) + f"SELECT {KEY}, count(*) AS packet_count FROM keyed GROUP BY ALL ORDER BY packet_count DESC, {KEY}"
 )
 def busiest_conversations(spark: SparkSession, d: str) -> DataFrame:
-    return pk.by_packet_count(pk.packet_features(derive_packets(spark, d))).select(*pk.CONVERSATION, "packet_count").limit(50)
+    return pk.by_packet_count(pk.packet_features(derive_packets(spark, d))).select(*pk.CONVERSATION, "packet_count")
 
 
 @query(with_ctes(PACKETS, KEYED, MARKED) + f"SELECT {KEY}, CAST(sum(again) AS BIGINT) AS retransmission_count FROM marked GROUP BY {KEY}")
@@ -302,7 +304,7 @@ def capture_summary(spark: SparkSession, d: str) -> DataFrame:
   CAST(coalesce(gx, 0) AS DOUBLE) AS flow_iat_max, CAST(coalesce(gn, 0) AS DOUBLE) AS flow_iat_min, syn AS syn_flag_cnt, round(b / n, 6) AS pkt_size_avg, CAST(mx AS INT) AS pkt_len_max FROM g"""
 )
 def flow_assembly(spark: SparkSession, d: str) -> DataFrame:
-    out = pk.assemble_flows(derive_packets(spark, d), idle_seconds=30 * 86400, bits=44)
+    out = pk.assemble_flows(derive_packets(spark, d), idle_seconds=30 * 86400)
     return out.select(
         "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "flow_no", "flow_duration", "tot_fwd_pkts", "tot_bwd_pkts",
         "totlen_fwd_pkts", "totlen_bwd_pkts", F.round("flow_iat_mean").alias("flow_iat_mean"),

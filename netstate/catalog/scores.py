@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from netstate.catalog.shaping import HOUR, rounded
 from netstate.catalog.sql import FLOWS, SCORED, states, with_ctes
-from netstate.catalog.windows import CHRONO, GAP, MULTISTEP, NUMBERED
+from netstate.catalog.windows import CHRONO, MULTISTEP, NUMBERED
 from netstate.constants import STATE_CLASSES
 from netstate.operators import horizons as hz
 from netstate.operators import metrics as mt
 from netstate.operators import sequences as seq
 from netstate.operators import splits
+from netstate.operators.audits import activation_gates as activation
 from netstate.operators.audits import probability_sanity as probability_checks
 from netstate.operators.audits import promotion_gates as gates
 from netstate.operators.states import window_states
-from netstate.scale import stage
+from netstate.plans.forecasting import rolling_session_diagnostics, select_weighting
+from netstate.scale import stage, with_running_total
 from netstate.sources.tables import derive_flows, derive_scored
 
 QUERIES = {}
@@ -182,7 +184,7 @@ SAMPLES = f"""_o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER
 samples AS (SELECT session_id, flow_seq, list(y_true) OVER h AS hist, list(y_true) OVER f AS y, list(p_benign) OVER f AS a, list(p_ddos) OVER f AS b, list(p_dos) OVER f AS c, list(p_portscan) OVER f AS e
   FROM _o WINDOW h AS (PARTITION BY session_id ORDER BY flow_seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), f AS (PARTITION BY session_id ORDER BY flow_seq {_ROWS})
   QUALIFY len(hist) = 5 AND len(y) = 6),
-hp AS (SELECT session_id, flow_seq, CAST(i AS INT) AS horizon, y[i] AS y_true, a[i] AS p_benign, CASE greatest(a[i], b[i], c[i], e[i]) WHEN a[i] THEN 'BENIGN' WHEN b[i] THEN 'DDoS' WHEN c[i] THEN 'DoS' ELSE 'PortScan' END AS y_pred
+hp AS (SELECT session_id, flow_seq, CAST(i AS INT) AS horizon, y[i] AS y_true, a[i] AS p_benign, b[i] AS p_ddos, c[i] AS p_dos, e[i] AS p_portscan, CASE greatest(a[i], b[i], c[i], e[i]) WHEN a[i] THEN 'BENIGN' WHEN b[i] THEN 'DDoS' WHEN c[i] THEN 'DoS' ELSE 'PortScan' END AS y_pred
   FROM samples, range(1, 7) r(i))"""
 
 
@@ -261,22 +263,22 @@ def onset_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_ctes(FLOWS, SCORED, SAMPLES)
-    + """SELECT session_id, flow_seq, min(horizon) FILTER (WHERE 1.0E0 - p_benign >= 0.9E0) IS NOT NULL AS warned, round(max(1.0E0 - p_benign), 6) AS maximum_attack_probability FROM hp GROUP BY 1, 2"""
+    + """SELECT session_id, flow_seq, CAST(coalesce(min(horizon) FILTER (WHERE 1.0E0 - p_benign >= 0.9E0), 0) AS INT) AS earliest_attack_horizon, round(max(1.0E0 - p_benign), 6) AS maximum_attack_probability FROM hp GROUP BY 1, 2"""
 )
 def earliest_warning(spark: SparkSession, d: str) -> DataFrame:
     predictions = hz.explode_horizons(horizon_samples(spark, d), ["session_id", "flow_seq"])
     out = hz.earliest_warning(predictions, 0.9, ["session_id", "flow_seq"])
     return rounded(out, ["maximum_attack_probability"]).select(
-        "session_id", "flow_seq", F.col("earliest_attack_horizon").isNotNull().alias("warned"), "maximum_attack_probability"
+        "session_id", "flow_seq", F.coalesce("earliest_attack_horizon", F.lit(0)).cast("int").alias("earliest_attack_horizon"), "maximum_attack_probability"
     )
 
 
 def _sequences(spark: SparkSession, d: str) -> DataFrame:
-    return seq.multistep_sequences(window_states(derive_flows(spark, d), HOUR).where(GAP), features=["flow_count"])
+    return seq.multistep_sequences(window_states(derive_flows(spark, d), HOUR), features=["flow_count"])
 
 
 @query(
-    with_ctes(FLOWS, states(where=GAP), MULTISTEP.format(source="states"))
+    with_ctes(FLOWS, states(), MULTISTEP.format(source="states"))
     + """SELECT session_id, CAST(i AS INT) AS horizon, count(*) AS samples, round(avg(CAST(fl[i] = hl[5] AS INT)), 6) AS accuracy FROM multi, range(1, 7) r(i) GROUP BY 1, 2"""
 )
 def persistence_accuracy(spark: SparkSession, d: str) -> DataFrame:
@@ -287,7 +289,7 @@ _COUNT_CLASSES = ", ".join(f'count(*) FILTER (WHERE {{x}} = \'{c}\') AS "{c}"' f
 
 
 @query(
-    with_ctes(FLOWS, states(where=GAP), MULTISTEP.format(source="states"))
+    with_ctes(FLOWS, states(), MULTISTEP.format(source="states"))
     + f"SELECT session_id, CAST(i AS INT) AS horizon, {_COUNT_CLASSES.format(x='fl[i]')} FROM multi, range(1, 7) r(i) GROUP BY 1, 2"
 )
 def distribution_by_horizon(spark: SparkSession, d: str) -> DataFrame:
@@ -295,11 +297,11 @@ def distribution_by_horizon(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    with_ctes(FLOWS, states(where=GAP), NUMBERED, CHRONO)
+    with_ctes(FLOWS, states(), NUMBERED, CHRONO)
     + f"SELECT session_id, split, {_COUNT_CLASSES.format(x='dominant_state')} FROM ch GROUP BY 1, 2"
 )
 def class_support_by_split(spark: SparkSession, d: str) -> DataFrame:
-    parts = splits.chronological_split(stage(window_states(derive_flows(spark, d), HOUR)).where(GAP))
+    parts = splits.chronological_split(stage(window_states(derive_flows(spark, d), HOUR)))
     return mt.class_distribution(parts, "dominant_state", ["session_id", "split"]).drop("low_support_classes")
 
 
@@ -357,3 +359,135 @@ def promotion_gates(spark: SparkSession, d: str) -> DataFrame:
     )
     by = ["model"]
     return gates(mt.summary_metrics(both, by), mt.class_metrics(both, by), mt.attack_metrics(both, by), "model", "constant")
+
+
+def ranked_sql(source: str, key: str) -> str:
+    """Ranking metrics per class and key."""
+    parts = " UNION ALL ".join(
+        f"SELECT {key}, '{c}' AS class, {p} AS score, y_true FROM {source}" for c, p in zip(STATE_CLASSES, mt.PROBABILITIES)
+    )
+    return f"""_s AS ({parts}),
+_g AS (SELECT {key}, class, score, count(*) FILTER (WHERE y_true = class) AS pos, count(*) FILTER (WHERE y_true <> class) AS neg FROM _s GROUP BY 1, 2, 3),
+_r AS (SELECT *, sum(pos) OVER c AS pa, sum(neg) OVER c AS na, sum(neg) OVER u - neg AS nb, sum(pos) OVER w AS p, sum(neg) OVER w AS n FROM _g
+  WINDOW w AS (PARTITION BY {key}, class), c AS (PARTITION BY {key}, class ORDER BY score DESC), u AS (PARTITION BY {key}, class ORDER BY score)),
+ranking AS (SELECT {key}, class, round(sum(CAST(pos AS DOUBLE) * (nb + neg / 2)) / max(CAST(p AS DOUBLE) * n), 6) AS roc_auc, round(sum(CAST(pos AS DOUBLE) / p * pa / (pa + na)), 6) AS average_precision
+  FROM _r WHERE p > 0 AND n > 0 GROUP BY 1, 2)"""
+
+
+def quality_sql(source: str, key: str) -> str:
+    """Confidence, log loss, Brier score, calibration error and bins per key."""
+    return f"""_q AS (SELECT *, greatest(p_benign, 1E-12) AS a, greatest(p_ddos, 1E-12) AS b, greatest(p_dos, 1E-12) AS c, greatest(p_portscan, 1E-12) AS e FROM {source}),
+clipped AS (SELECT {key}, y_true, y_true = y_pred AS ok, a / (a + b + c + e) AS a, b / (a + b + c + e) AS b, c / (a + b + c + e) AS c, e / (a + b + c + e) AS e, greatest(a, b, c, e) / (a + b + c + e) AS conf FROM _q),
+bins AS (SELECT {key}, {BIN} AS bin, count(*) AS n, avg(conf) AS mc, avg(CAST(ok AS INT)) AS acc FROM clipped GROUP BY 1, 2),
+gaps AS (SELECT {key}, round(sum(n * abs(mc - acc)) / sum(n), 6) AS expected_calibration_error FROM bins GROUP BY 1),
+quality AS (SELECT {key}, round(avg(conf), 6) AS average_confidence, round(avg(conf) FILTER (WHERE ok), 6) AS confidence_correct, round(avg(conf) FILTER (WHERE NOT ok), 6) AS confidence_incorrect,
+  round(avg(-ln(CASE y_true WHEN 'BENIGN' THEN a WHEN 'DDoS' THEN b WHEN 'DoS' THEN c ELSE e END)), 6) AS multiclass_log_loss,
+  round(avg((a - CAST(y_true = 'BENIGN' AS INT)) ** 2 + (b - CAST(y_true = 'DDoS' AS INT)) ** 2 + (c - CAST(y_true = 'DoS' AS INT)) ** 2 + (e - CAST(y_true = 'PortScan' AS INT)) ** 2), 6) AS multiclass_brier_score FROM clipped GROUP BY 1)"""
+
+
+def _horizons(spark: SparkSession, d: str) -> DataFrame:
+    return stage(hz.explode_horizons(horizon_samples(spark, d)))
+
+
+@query(with_ctes(FLOWS, SCORED, SAMPLES, ranked_sql("hp", "horizon")) + "SELECT * FROM ranking")
+def horizon_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mt.ranking_metrics(_horizons(spark, d), ["horizon"]), ["roc_auc", "average_precision"])
+
+
+@query(with_ctes(FLOWS, SCORED, SAMPLES, quality_sql("hp", "horizon")) + "SELECT * FROM quality JOIN gaps USING (horizon)")
+def horizon_probability_quality(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mt.probability_quality(_horizons(spark, d), ["horizon"]), QUALITY)
+
+
+@query(
+    with_ctes(FLOWS, SCORED, SAMPLES, quality_sql("hp", "horizon"))
+    + """SELECT h.horizon, CAST(i AS INT) AS bin, coalesce(n, 0) AS n, round(mc, 6) AS mean_confidence, round(acc, 6) AS observed_accuracy
+  FROM (SELECT DISTINCT horizon FROM hp) h CROSS JOIN range(10) r(i) LEFT JOIN bins ON bin = i AND bins.horizon = h.horizon"""
+)
+def horizon_calibration(spark: SparkSession, d: str) -> DataFrame:
+    out = mt.calibration(_horizons(spark, d), ["horizon"]).drop("lower", "upper")
+    return rounded(out, ["mean_confidence", "observed_accuracy"])
+
+
+_FOLD_EDGES = [f"{edge!r}E0" for edge in splits.fold_edges()]
+ROLLED = f"""_n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY flow_seq) AS pos, count(*) OVER (PARTITION BY session_id) AS n FROM scored),
+rolled AS (SELECT * FROM (SELECT *, least(greatest(te + 6, CAST(floor(n * hi) AS BIGINT)), n) AS ve FROM (
+    SELECT *, greatest(6, CAST(floor(n * lo) AS BIGINT)) AS te FROM _n,
+      (VALUES (1, {_FOLD_EDGES[0]}, {_FOLD_EDGES[1]}), (2, {_FOLD_EDGES[1]}, {_FOLD_EDGES[2]}), (3, {_FOLD_EDGES[2]}, {_FOLD_EDGES[3]})) f(fold, lo, hi) WHERE n >= 24))
+  WHERE ve - te - 5 > 5 AND pos > te + 5 AND pos <= ve)"""
+
+
+def _rolled(spark: SparkSession, d: str) -> DataFrame:
+    """Scored flows in the validation part of each expanding fold of their session."""
+    ordered = derive_scored(spark, d).withColumnRenamed("flow_seq", "window_id")
+    return stage(splits.rolling_folds(ordered, bits=20).where("role = 'validation'"))
+
+
+@query(
+    with_ctes(FLOWS, SCORED, ROLLED, class_ctes("rolled", "fold"), f"s AS ({summary_select('fold')})", f"a AS ({attack_sql('rolled', 'fold')})")
+    + f"SELECT fold, samples, {SUMMARY_SQL}, evaluation_status, round(a.f1, 6) AS attack_f1 FROM s JOIN a USING (fold)"
+)
+def rolling_fold_metrics(spark: SparkSession, d: str) -> DataFrame:
+    rows = _rolled(spark, d)
+    attack = mt.attack_metrics(rows, ["fold"]).select("fold", F.col("f1").alias("attack_f1"))
+    return rounded(mt.summary_metrics(rows, ["fold"]).join(attack, "fold"), [*SUMMARY, "attack_f1"])
+
+
+@query(with_ctes(FLOWS, SCORED, ROLLED, ranked_sql("rolled", "fold")) + "SELECT * FROM ranking")
+def rolling_fold_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mt.ranking_metrics(_rolled(spark, d), ["fold"]), ["roc_auc", "average_precision"])
+
+
+@query(with_ctes(FLOWS, SCORED, ROLLED, quality_sql("rolled", "fold")) + "SELECT * FROM quality JOIN gaps USING (fold)")
+def rolling_fold_quality(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mt.probability_quality(_rolled(spark, d), ["fold"]), QUALITY)
+
+
+@query(
+    with_ctes(FLOWS, SCORED, ROLLED, "m AS (SELECT * FROM rolled WHERE fold = 3)", "paired AS (SELECT 'model' AS model, y_true, y_pred FROM m UNION ALL SELECT 'constant', y_true, 'BENIGN' FROM m)",
+              class_ctes("paired", "model"), f"s AS ({summary_select('model')})", f"a AS ({attack_sql('paired', 'model')})",
+              "hp AS (SELECT y_true, p_benign FROM m)", SWEEP,
+              """g AS (SELECT 'macro_f1_improves' AS gate, (SELECT macro_f1 FROM s WHERE model = 'model') > (SELECT macro_f1 FROM s WHERE model = 'constant') AS passed
+  UNION ALL SELECT 'ddos_support', (SELECT support FROM per_class WHERE model = 'model' AND class = 'DDoS') > 0
+  UNION ALL SELECT 'ddos_recall_improves', (SELECT recall FROM per_class WHERE model = 'model' AND class = 'DDoS') > (SELECT recall FROM per_class WHERE model = 'constant' AND class = 'DDoS')
+  UNION ALL SELECT 'benign_fpr_within_one_point', (SELECT false_positive_rate FROM a WHERE model = 'model') <= (SELECT false_positive_rate FROM a WHERE model = 'constant') + 0.01E0
+  UNION ALL SELECT 'ddos_training_support', (SELECT count(*) FROM rolled WHERE fold < 3 AND y_true = 'DDoS') > 0
+  UNION ALL SELECT 'warning_threshold_selected', (SELECT count(*) FROM sweep WHERE false_positive_rate <= 0.05E0) > 0)""")
+    + "SELECT gate, coalesce(passed, FALSE) AS passed FROM g UNION ALL SELECT 'active', bool_and(coalesce(passed, FALSE)) FROM g"
+)
+def activation_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Gates of the last fold against a constant forecast, with training support and a chosen warning threshold."""
+    rows = _rolled(spark, d)
+    last = rows.where("fold = 3").select("y_true", "y_pred", *mt.PROBABILITIES)
+    both = last.select("y_true", "y_pred", F.lit("model").alias("model")).unionByName(
+        last.select("y_true", F.lit("BENIGN").alias("y_pred"), F.lit("constant").alias("model"))
+    )
+    by = ["model"]
+    promoted = gates(mt.summary_metrics(both, by), mt.class_metrics(both, by), mt.attack_metrics(both, by), "model", "constant")
+    return activation(promoted, rows.where("fold < 3"), hz.select_threshold(hz.threshold_sweep(last)))
+
+
+@query(
+    with_ctes(FLOWS, states(), MULTISTEP.format(source="states"))
+    + """SELECT session_id, CAST(i AS INT) AS horizon, count(*) AS samples, round(avg(CAST(fl[i] = hl[5] AS INT)), 6) AS accuracy, CAST(substr(session_id, 2) AS INT) - 1 AS session_rank,
+  CASE WHEN session_id = 's1' THEN 'N/A' ELSE 'SCORED_THEN_ADVANCED' END AS status FROM multi, range(1, 7) r(i) GROUP BY 1, 2"""
+)
+def session_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """Persistence per session and horizon; the first session has nothing before it."""
+    sequences = stage(_sequences(spark, d))
+    ranks = sequences.select("session_id").distinct().withColumn("session_rank", F.substring("session_id", 2, 2).cast("int") - 1)
+    return rounded(rolling_session_diagnostics(sequences, ranks), ["accuracy"])
+
+
+@query(with_ctes(FLOWS) + "SELECT session_id, flow_seq, sum(tot_fwd_pkts) OVER (PARTITION BY session_id ORDER BY flow_seq) AS packets_so_far FROM flows")
+def running_packets(spark: SparkSession, d: str) -> DataFrame:
+    """Forward packets of a session up to each flow."""
+    flows = derive_flows(spark, d).select("session_id", "flow_seq", "tot_fwd_pkts")
+    return with_running_total(flows, ["session_id"], "flow_seq", "tot_fwd_pkts", "packets_so_far", bits=10).drop("tot_fwd_pkts")
+
+
+@query()
+def chosen_weighting(spark: SparkSession, d: str) -> DataFrame:
+    """Whether class weights help the forecaster over the rolling folds of four-hour windows."""
+    chosen = select_weighting(stage(window_states(derive_flows(spark, d), 4 * HOUR)))
+    return spark.createDataFrame([(chosen,)], "selected_training string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,25 +163,39 @@ def _ids(alias: str) -> str:
     return f"array_to_string({alias}, ',')"
 
 
-POSITIONAL = """placed AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY window_id) AS pos FROM {source}),
-sq AS (SELECT {keys}, list(window_id) OVER o AS ids, list(flow_count) OVER o AS fc, lead(window_id) OVER t AS target_window_id,
+CHECKSUM = " + ".join(f"{f} * {i + 1}" for i, f in enumerate(STATE_FEATURES))
+"""All 28 features of a window in one number."""
+
+
+def _checksum(vector):
+    return reduce(lambda a, b: a + b, [vector[i] * (i + 1) for i in range(len(STATE_FEATURES))])
+
+
+POSITIONAL = """placed AS (SELECT *, """ + CHECKSUM + """ AS total, row_number() OVER (PARTITION BY {keys} ORDER BY window_id) AS pos FROM {source}),
+sq AS (SELECT {keys}, list(window_id) OVER o AS ids, list(flow_count) OVER o AS fc, list(total) OVER o AS cs, lead(total) OVER t AS y_total, lead(window_id) OVER t AS target_window_id,
   lead(dominant_state) OVER t AS y_dominant_state, lead(attack_present) OVER t AS y_attack_present, lead(total_packets) OVER t AS y_packets, pos, window_id
   FROM placed WINDOW o AS (PARTITION BY {keys} ORDER BY window_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), t AS (PARTITION BY {keys} ORDER BY window_id))"""
 
 
 @query(
     with_ctes(FLOWS, states(where=GAP), POSITIONAL.format(keys="session_id", source="states"))
-    + f"""SELECT session_id, {_ids("ids")} AS input_window_ids, list_sum(fc) AS history_flows, target_window_id, y_dominant_state, y_attack_present,
-  y_packets FROM sq WHERE len(ids) = 5 AND target_window_id IS NOT NULL"""
+    + f"""SELECT session_id, {_ids("ids")} AS input_window_ids, list_sum(fc) AS history_flows, round(list_sum(cs), 2) AS history_checksum, target_window_id, y_dominant_state, y_attack_present,
+  y_packets, round(y_total, 2) AS target_checksum FROM sq WHERE len(ids) = 5 AND target_window_id IS NOT NULL"""
 )
 def sequences_positional(spark: SparkSession, d: str) -> DataFrame:
     out = seq.sequences_positional(_states(spark, d).where(GAP), bits=5)
     return out.select(
         "session_id", joined("input_window_ids").alias("input_window_ids"), _history_sum().alias("history_flows"),
+        _history_checksum().alias("history_checksum"),
         "target_window_id", "y_dominant_state", "y_attack_present", F.col("y_state_vector")[7].alias("y_packets"),
+        F.round(_checksum(F.col("y_state_vector")), 2).alias("target_checksum"),
     )
 
 
+def _history_checksum():
+    return F.round(F.aggregate("X", F.lit(0.0), lambda total, vector: total + _checksum(vector)), 2)
+
+
 def _history_sum():
     """Sum of flow_count over the input windows."""
     return F.aggregate("X", F.lit(0.0), lambda total, vector: total + vector[0])
@@ -187,46 +203,48 @@ def _history_sum():
 
 @query(
     with_ctes(FLOWS, states(where=GAP), POSITIONAL.format(keys="session_id", source="states"))
-    + f"""SELECT session_id, {_ids("ids")} AS input_window_ids, list_sum(fc) AS history_flows, target_window_id, y_dominant_state
+    + f"""SELECT session_id, {_ids("ids")} AS input_window_ids, list_sum(fc) AS history_flows, round(list_sum(cs), 2) AS history_checksum, target_window_id, y_dominant_state
   FROM sq WHERE len(ids) = 5 AND ids[1] = window_id - 4 AND target_window_id = window_id + 1"""
 )
 def sequences_gap_aware(spark: SparkSession, d: str) -> DataFrame:
     out = seq.sequences_gap_aware(window_states(derive_flows(spark, d), HOUR).where(GAP), bits=5)
     return out.select(
         "session_id", joined("input_window_ids").alias("input_window_ids"), _history_sum().alias("history_flows"),
+        _history_checksum().alias("history_checksum"),
         "target_window_id", "y_dominant_state",
     )
 
 
 MULTISTEP = """ms AS (SELECT session_id, window_id, list(window_id) OVER h AS hist, list(dominant_state) OVER h AS hl,
-  list(window_id) OVER f AS fut, list(dominant_state) OVER f AS fl, list(alert_state) OVER f AS fa, list(flow_count) OVER h AS fc FROM {source}
+  list(window_id) OVER f AS fut, list(dominant_state) OVER f AS fl, list(alert_state) OVER f AS fa, list(flow_count) OVER h AS fc, list(""" + CHECKSUM + """) OVER h AS cs FROM {source}
   WINDOW h AS (PARTITION BY session_id ORDER BY window_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),
          f AS (PARTITION BY session_id ORDER BY window_id ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING)),
-multi AS (SELECT session_id, session_id || ':' || hist[1] || ':' || fut[6] AS sample_id, hl, fl, fa, fc, fut FROM ms
+multi AS (SELECT session_id, session_id || ':' || hist[1] || ':' || fut[6] AS sample_id, hl, fl, fa, fc, cs, fut FROM ms
   WHERE len(hist) = 5 AND len(fut) = 6 AND hist[1] = window_id - 4 AND fut[6] = window_id + 6)"""
 
 
 @query(
     with_ctes(FLOWS, states(where=GAP), MULTISTEP.format(source="states"))
     + """SELECT session_id, sample_id, array_to_string(hl, ',') AS input_labels, array_to_string(fl, ',') AS y_dominant,
-  array_to_string(fa, ',') AS y_alert, list_sum(fc) AS history_flows FROM multi"""
+  array_to_string(fa, ',') AS y_alert, list_sum(fc) AS history_flows, round(list_sum(cs), 2) AS history_checksum FROM multi"""
 )
 def multistep_sequences(spark: SparkSession, d: str) -> DataFrame:
     out = seq.multistep_sequences(window_states(derive_flows(spark, d), HOUR).where(GAP), bits=5)
     return out.select(
         "session_id", "sample_id", joined("input_labels").alias("input_labels"), joined("y_dominant").alias("y_dominant"),
         joined("y_alert").alias("y_alert"), _history_sum().alias("history_flows"),
+        _history_checksum().alias("history_checksum"),
     )
 
 
 @query(
     with_ctes(FLOWS, states(where=GAP), POSITIONAL.format(keys="session_id", source="states"))
     + """SELECT session_id, target_window_id, CAST(CASE y_dominant_state WHEN 'BENIGN' THEN 0 WHEN 'DDoS' THEN 1 WHEN 'DoS' THEN 2 ELSE 3 END AS INT) AS y_class,
-  y_packets FROM sq WHERE len(ids) = 5 AND ids[1] = window_id - 4 AND target_window_id = window_id + 1"""
+  y_packets, round(y_total, 2) AS target_checksum FROM sq WHERE len(ids) = 5 AND ids[1] = window_id - 4 AND target_window_id = window_id + 1"""
 )
 def next_state_pairs(spark: SparkSession, d: str) -> DataFrame:
     out = seq.next_state_pairs(window_states(derive_flows(spark, d), HOUR).where(GAP), bits=5)
-    return out.select("session_id", "target_window_id", "y_class", F.col("y_state")[7].alias("y_packets"))
+    return out.select("session_id", "target_window_id", "y_class", F.col("y_state")[7].alias("y_packets"), F.round(_checksum(F.col("y_state")), 2).alias("target_checksum"))
 
 
 @query(
@@ -244,54 +262,54 @@ CHRONO = """ch AS (SELECT *, CASE WHEN pos <= round_even(n * 0.7E0, 0) THEN 'tra
   WHEN pos <= round_even(n * 0.7E0, 0) + round_even(n * 0.15E0, 0) THEN 'validation' ELSE 'test' END AS split FROM n)"""
 
 
-@query(with_ctes(FLOWS, states(where=GAP), NUMBERED, CHRONO) + "SELECT session_id, window_id, split FROM ch")
+@query(with_ctes(FLOWS, states(), NUMBERED, CHRONO) + "SELECT session_id, window_id, split FROM ch")
 def chronological_split(spark: SparkSession, d: str) -> DataFrame:
-    return splits.chronological_split(_states(spark, d).where(GAP), bits=5).select("session_id", "window_id", "split")
+    return splits.chronological_split(_states(spark, d), bits=5).select("session_id", "window_id", "split")
 
 
 @query(
-    with_ctes(FLOWS, states(where=GAP), NUMBERED, CHRONO)
+    with_ctes(FLOWS, states(), NUMBERED, CHRONO)
     + """SELECT session_id, split, count(*) AS n_windows, min(window_id) AS first_window, max(window_id) AS last_window FROM ch GROUP BY 1, 2"""
 )
 def split_bounds(spark: SparkSession, d: str) -> DataFrame:
-    return splits.split_bounds(splits.chronological_split(_states(spark, d).where(GAP)))
+    return splits.split_bounds(splits.chronological_split(_states(spark, d)))
 
 
 @query(
     with_ctes(
-        FLOWS, states(where=GAP), NUMBERED, CHRONO,
+        FLOWS, states(), NUMBERED, CHRONO,
         POSITIONAL.format(keys="session_id, split", source="(SELECT * EXCLUDE (pos, n) FROM ch)"),
     )
     + f"""SELECT session_id, split, {_ids("ids")} AS input_window_ids, target_window_id FROM sq WHERE len(ids) = 5 AND target_window_id IS NOT NULL"""
 )
 def split_sequences(spark: SparkSession, d: str) -> DataFrame:
-    parts = splits.chronological_split(_states(spark, d).where(GAP))
+    parts = splits.chronological_split(_states(spark, d))
     out = seq.sequences_positional(parts, within=["split"], features=["flow_count"], bits=5)
     return out.select("session_id", "split", joined("input_window_ids").alias("input_window_ids"), "target_window_id")
 
 
 @query(
-    with_ctes(FLOWS, states(where=GAP), NUMBERED)
+    with_ctes(FLOWS, states(), NUMBERED)
     + """SELECT session_id, window_id, CASE WHEN pos <= c THEN 'train' ELSE 'holdout' END AS split
   FROM (SELECT *, least(greatest(6, CAST(floor(n * 0.85E0) AS BIGINT)), n) AS c FROM n) WHERE pos <= c OR pos > c + 5"""
 )
 def holdout_split(spark: SparkSession, d: str) -> DataFrame:
-    return splits.holdout_split(_states(spark, d).where(GAP)).select("session_id", "window_id", "split")
+    return splits.holdout_split(_states(spark, d)).select("session_id", "window_id", "split")
 
 
 @query(
-    with_ctes(FLOWS, states(where=GAP), NUMBERED)
+    with_ctes(FLOWS, states(), NUMBERED)
     + """SELECT session_id, window_id, CASE WHEN pos <= greatest(6, CAST(floor(n * 0.9E0) AS BIGINT)) THEN 'train' ELSE 'validation' END AS split FROM n"""
 )
 def development_split(spark: SparkSession, d: str) -> DataFrame:
-    return splits.development_split(_states(spark, d).where(GAP)).select("session_id", "window_id", "split")
+    return splits.development_split(_states(spark, d)).select("session_id", "window_id", "split")
 
 
 _EDGES = [f"{edge!r}E0" for edge in splits.fold_edges()]
 
 
 @query(
-    with_ctes(FLOWS, states(where=GAP), NUMBERED)
+    with_ctes(FLOWS, states(), NUMBERED)
     + f"""SELECT session_id, window_id, fold, CASE WHEN pos <= te THEN 'train' ELSE 'validation' END AS role FROM (
   SELECT *, least(greatest(te + 6, CAST(floor(n * hi) AS BIGINT)), n) AS ve FROM (
     SELECT *, greatest(6, CAST(floor(n * lo) AS BIGINT)) AS te FROM n,
@@ -299,21 +317,21 @@ _EDGES = [f"{edge!r}E0" for edge in splits.fold_edges()]
   WHERE ve - te - 5 > 5 AND (pos <= te OR (pos > te + 5 AND pos <= ve))"""
 )
 def rolling_folds(spark: SparkSession, d: str) -> DataFrame:
-    return splits.rolling_folds(_states(spark, d).where(GAP)).select("session_id", "window_id", "fold", "role")
+    return splits.rolling_folds(_states(spark, d)).select("session_id", "window_id", "fold", "role")
 
 
 BUCKETS = {"s1.csv": "train", "s2.csv": "train", "s3.csv": "validation", "s4.csv": "test"}
 
 
 @query(
-    with_ctes(FLOWS, states(where=GAP), NUMBERED)
+    with_ctes(FLOWS, states(), NUMBERED)
     + """SELECT session_id, window_id, split FROM (SELECT *, CASE WHEN session_id IN ('s1', 's2') THEN 'train' WHEN session_id = 's3' THEN 'validation'
   WHEN pos <= CAST(floor(n * 0.6E0) AS BIGINT) THEN 'train'
   WHEN pos > CAST(floor(n * 0.6E0) AS BIGINT) + 6 AND pos <= CAST(floor(n * 0.8E0) AS BIGINT) THEN 'validation'
   WHEN pos > CAST(floor(n * 0.8E0) AS BIGINT) + 6 THEN 'test' END AS split FROM n) WHERE split IS NOT NULL"""
 )
 def embargo_split(spark: SparkSession, d: str) -> DataFrame:
-    out = splits.embargo_split(_states(spark, d).where(GAP), BUCKETS, "s4")
+    out = splits.embargo_split(_states(spark, d), BUCKETS, "s4")
     return out.select("session_id", "window_id", "split")
 
 

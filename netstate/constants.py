@@ -27,7 +27,6 @@ LOW_SUPPORT = 30
 MIN_ATTACK_RATIO = {"DDoS": 0.20, "DoS": 0.20, "PortScan": 0.20}
 
 ROLLOUT_STEPS = 6
-MAX_ROLLOUT_STEPS = 24
 ALARM_PROBABILITY = 0.60
 
 # The 77 flow features of the per-flow classifier, in training order (leading blanks are part of the public dataset).

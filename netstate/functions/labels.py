@@ -52,10 +52,6 @@ def training_state_or_invalid(label: Column) -> Column:
     return state_or_sentinel(state.isNotNull(), state, INVALID_STATE)
 
 
-def is_scoreable(state: Column) -> Column:
-    return state.isin(STATE_CLASSES)
-
-
 def effective_state(model_state: Column, signature_state: Column) -> Column:
     """The model's state, except that a signature speaks for rows the model left benign or could not score."""
     return F.when(

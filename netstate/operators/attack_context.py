@@ -30,6 +30,7 @@ STATE_TECHNIQUES = {
 }
 SUB_TECHNIQUES = ["T1498.001", "T1498.002"]
 VALID_TACTICS = ["Reconnaissance", "Discovery", "Impact"]
+# Fixed texts that candidates carry: what flows cannot show, per technique and in general.
 LIMITATIONS = {
     "T1595": "Flow data cannot establish whether scanning occurred before compromise.",
     "T1046": "Flow data cannot establish whether scanning occurred from a compromised internal host.",
@@ -281,6 +282,8 @@ def mapping_summary(forecasts: DataFrame, candidates: DataFrame, keys: Sequence[
                 F.lit("traffic-state evidence is insufficient for an ATT&CK technique assertion")
             ),
         ).alias("reason"),
+        "operator_guidance",
+        "evidence_needed",
     )
 
 

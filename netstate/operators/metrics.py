@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from netstate.constants import ATTACK_CLASSES, LOW_SUPPORT, STATE_CLASSES
 from netstate.functions.values import argmax_label
+from netstate.scale import stage
 
 PROBABILITIES = ["p_benign", "p_ddos", "p_dos", "p_portscan"]
 CLIP = 1e-12
-SCORE_BUCKETS = 256
+SCORE_BUCKET_ROWS = 200_000
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -127,21 +128,27 @@ def _scores(df: DataFrame, by: Sequence[str], probabilities: Sequence[str]) -> D
 
 
 def _ranked_scores(
-    df: DataFrame, by: Sequence[str], probabilities: Sequence[str], buckets: int = SCORE_BUCKETS
+    df: DataFrame, by: Sequence[str], probabilities: Sequence[str], bucket_rows: int = SCORE_BUCKET_ROWS
 ) -> DataFrame:
     """Distinct scores with the positives and negatives that score below them.
 
-    Distinct scores are cut at their quantiles into buckets of about equal size, so the running sums of one class are
-    spread over many tasks; one row per bucket carries the sums of lower buckets.
+    The distinct scores of a class are cut at their quantiles into buckets of about `bucket_rows`, so the running sums of
+    one class are spread over many tasks; one row per bucket carries the sums of lower buckets.
     """
     keys = [*by, "class"]
-    scores = _scores(df, by, probabilities)
-    distinct = scores.select("score")
-    cuts = distinct.agg(
-        F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("cuts")
-    ).first()["cuts"]
-    edges = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<double>")
-    bucketed = scores.withColumn("_bucket", F.size(F.filter(edges, lambda e: e <= F.col("score"))))
+    scores = stage(_scores(df, by, probabilities))
+    sizes = {r["class"]: r["count"] for r in scores.groupBy("class").count().collect()}  # four rows at most
+    buckets = math.ceil(max(sizes.values(), default=0) / bucket_rows)
+    bucket = F.lit(0)
+    if buckets > 1:
+        quantiles = F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 10 * buckets)
+        cuts = {r["class"]: r["cuts"] for r in scores.groupBy("class").agg(quantiles.alias("cuts")).collect()}
+        places = [
+            F.when(F.col("class") == c, F.size(F.filter(F.array(*[F.lit(e) for e in sorted(set(edges))]), lambda e: e <= F.col("score"))))
+            for c, edges in cuts.items()
+        ]
+        bucket = F.coalesce(*places, F.lit(0))
+    bucketed = scores.withColumn("_bucket", bucket)
     sums = bucketed.groupBy(*keys, "_bucket").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -167,10 +174,11 @@ def _ranked_scores(
 
 
 def ranking_metrics(
-    df: DataFrame, by: Sequence[str] = (), probabilities: Sequence[str] = PROBABILITIES
+    df: DataFrame, by: Sequence[str] = (), probabilities: Sequence[str] = PROBABILITIES,
+    bucket_rows: int = SCORE_BUCKET_ROWS,
 ) -> DataFrame:
     """One-vs-rest ROC AUC (ties count half) and average precision per class; NULL for one-sided classes."""
-    ranked = _ranked_scores(df, by, probabilities)
+    ranked = _ranked_scores(df, by, probabilities, bucket_rows)
     both = (F.col("positives") > 0) & (F.col("negatives") > 0)
     won = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
     pairs = F.max(F.col("positives").cast("double") * F.col("negatives"))

@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
     RandomForestClassifier,
@@ -15,13 +14,14 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseMatrix
 from pyspark.ml.stat import Correlation
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netstate.constants import (
-    ALARM_PROBABILITY, ALERT_CLASSES, HORIZONS, MAX_ROLLOUT_STEPS, ROLLOUT_STEPS, SEED, SEQUENCE_LENGTH, STATE_CLASSES,
+    ALARM_PROBABILITY, ALERT_CLASSES, HORIZONS, ROLLOUT_STEPS, SEED, SEQUENCE_LENGTH, STATE_CLASSES,
     STATE_FEATURES,
 )
 from netstate.functions.values import encode_label
@@ -138,6 +138,47 @@ def fit_logistic(vectors: DataFrame, iterations: int = 100, weight: str | None =
     return (model.setWeightCol(weight) if weight else model).fit(vectors)
 
 
+@dataclass(frozen=True)
+class LinearModel:
+    """A fitted or given multinomial linear model, applied as plain column expressions.
+
+    It has what the operators here use of Spark's fitted models: `transform`, `numFeatures` and `coefficientMatrix`.
+    """
+
+    coefficients: tuple[tuple[float, ...], ...]
+    intercepts: tuple[float, ...]
+
+    @property
+    def numFeatures(self) -> int:
+        return len(self.coefficients[0])
+
+    @property
+    def coefficientMatrix(self):
+        return DenseMatrix(
+            len(self.coefficients), self.numFeatures, [v for row in self.coefficients for v in row], isTransposed=True
+        )
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """`df` with rawPrediction, probability and prediction from its column `features`."""
+        x = vector_to_array("features")
+        logits = [
+            F.aggregate(
+                F.zip_with(x, F.array(*[F.lit(float(c)) for c in row]), lambda a, b: a * b), F.lit(float(start)), lambda a, b: a + b
+            )
+            for row, start in zip(self.coefficients, self.intercepts)
+        ]
+        out = df.withColumn("_z", F.array(*logits)).withColumn("_m", F.array_max("_z"))
+        out = out.withColumn("_e", F.transform("_z", lambda z: F.exp(z - F.col("_m"))))
+        total = F.aggregate("_e", F.lit(0.0), lambda a, b: a + b)
+        return out.withColumns(
+            {
+                "rawPrediction": array_to_vector("_z"),
+                "probability": array_to_vector(F.transform("_e", lambda e: e / total)),
+                "prediction": (F.array_position("_z", F.col("_m")) - 1).cast("double"),
+            }
+        ).drop("_z", "_m", "_e")
+
+
 @dataclass(frozen=True)
 class NextWindowForecaster:
     """Two heads over the same history: dominant state and attack alert of the next window."""
@@ -268,7 +309,8 @@ def rollout(
 
     Every step is a projection over all histories at once. One row per (history, step).
     """
-    steps = max(1, min(int(steps), MAX_ROLLOUT_STEPS))
+    if int(steps) < 1:
+        raise ValueError("A rollout has at least one step.")
     current = histories.withColumn("_h", scaler.transform_vectors(F.col("X"), features))
     table = F.array(*[F.lit(c) for c in STATE_CLASSES])
     for k in range(steps):
@@ -352,19 +394,26 @@ def driving_features(contributions: DataFrame, k: int = 10) -> DataFrame:
 
 
 def sample_allocation(counts: Mapping[str, int], size: int) -> dict[str, int]:
-    """Samples per class: floor of the share but at least one, then evened out to the target."""
-    classes = sorted(counts)
+    """Samples per class of a sample of `size` rows: the floor of its share, one at least, then evened out.
+
+    The samples of a class are numbered from 1. Too many are taken back from the highest numbers; missing ones go where
+    most rows are left over; equal cases follow the order of the names. More classes than samples give one sample to each
+    of the first `size` names.
+    """
+    names = sorted(counts)
     total = sum(counts.values())
     target = min(size, total)
-    share = {c: max(1, int(target * counts[c] / total)) for c in classes}
-    while sum(share.values()) > target:
-        largest = max(classes, key=lambda c: share[c])
-        if share[largest] <= 1:
-            break
-        share[largest] -= 1
-    while sum(share.values()) < target:
-        share[max(classes, key=lambda c: counts[c] - share[c])] += 1
-    return share
+    if len(names) > target:
+        return {c: int(i < target) for i, c in enumerate(names)}
+    shares = {c: max(1, target * counts[c] // total) for c in names}
+    missing = target - sum(shares.values())
+    if missing < 0:
+        numbered = sorted((-n, c) for c in names for n in range(2, shares[c] + 1))
+        moved = [(c, -1) for _, c in numbered[:-missing]]
+    else:
+        spare = sorted((shares[c] + n - counts[c], c) for c in names for n in range(missing))
+        moved = [(c, 1) for _, c in spare[:missing]]
+    return {c: shares[c] + sum(step for name, step in moved if name == c) for c in names}
 
 
 def stratified_sample(rows: DataFrame, label: str, row_id: str, size: int = 100, seed: int = SEED) -> DataFrame:
@@ -372,14 +421,14 @@ def stratified_sample(rows: DataFrame, label: str, row_id: str, size: int = 100,
 
     The rank filter runs before the shuffle, so a class sends at most its allocation per task.
     """
-    counted = rows.where(F.col(label).isNotNull()).groupBy(label).count().limit(size + 1).collect()
-    counts = {r[label]: r["count"] for r in counted}
-    if not 0 < len(counts) <= size:
-        raise ValueError(f"A stratified sample of {size} rows needs between 1 and {size} classes.")
-    share = sample_allocation(counts, size)
+    counted = rows.where(F.col(label).isNotNull()).groupBy(label).count()
+    counts = {r[label]: r["count"] for r in counted.collect()}  # one row per class
+    share = {c: n for c, n in sample_allocation(counts, size).items() if n}
+    if not share:
+        return rows.limit(0)
     order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col(row_id)), row_id)
     wanted = F.coalesce(*[F.when(F.col(label) == c, F.lit(n)) for c, n in share.items()])
-    ranked = rows.where(F.col(label).isNotNull()).withColumn("_rank", F.row_number().over(order))
+    ranked = rows.where(F.col(label).isin(list(share))).withColumn("_rank", F.row_number().over(order))
     ranked = ranked.where(F.col("_rank") <= max(share.values()))
     return ranked.where(F.col("_rank") <= wanted).drop("_rank")
 
@@ -397,12 +446,3 @@ def rows_to_explain(predictions: DataFrame, order: str, benign: str = PROBABILIT
 
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
-
-
-def save_pipeline(stages: Sequence, path: str) -> PipelineModel:
-    """Persist fitted stages as one pipeline."""
-    pipeline = PipelineModel(list(stages))
-    pipeline.write().overwrite().save(path)
-    return pipeline
-
-

@@ -16,8 +16,14 @@ NUMERIC = {"double", "float", "integer", "long", "short", "byte", "decimal"}
 
 
 def row_hash(columns: Sequence[Column]) -> list[Column]:
-    """128 bits over a row: two 64-bit hashes of the same values."""
-    return [F.xxhash64(*columns).alias("_h1"), F.xxhash64(F.lit("second"), *columns).alias("_h2")]
+    """128 bits over a row: two 64-bit hashes that take the values in opposite order.
+
+    Spark's hash passes over NULL, so each value is followed by a flag that tells whether it is NULL.
+    """
+    flagged = [(c, c.isNull()) for c in columns]
+    forward = [part for pair in flagged for part in pair]
+    backward = [part for pair in reversed(flagged) for part in pair]
+    return [F.xxhash64(*forward).alias("_h1"), F.xxhash64(F.lit("second"), *backward).alias("_h2")]
 
 
 def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = SESSION) -> DataFrame:

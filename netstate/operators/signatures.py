@@ -109,15 +109,19 @@ def is_syn_flood(
 
 def port_sweeps(
     flows: DataFrame, order: str = "flow_seq", min_ports: int = SWEEP_MIN_PORTS,
-    max_mean_bytes: float = SWEEP_MAX_MEAN_FWD_BYTES, bits: int = ROW_BITS,
+    max_mean_bytes: float = SWEEP_MAX_MEAN_FWD_BYTES, bits: int = ROW_BITS, sessions: Sequence[str] = (),
 ) -> DataFrame:
-    """(source, destination) pairs that touch many ports with tiny probes, and the way they walk the ports."""
+    """(source, destination) pairs that touch many ports with tiny probes, and the way they walk the ports.
+
+    Contacts of several sessions stand in the order of the columns `sessions` (such as session_rank) and then of `order`.
+    """
     pairs = flows.select(
         _text(_column(flows, "src_ip")).alias("src"),
         _text(_column(flows, "dst_ip")).alias("dst"),
         F.when(_amount(flows, "dst_port") > 0, _amount(flows, "dst_port").cast("long")).alias("port"),
         _amount(flows, "totlen_fwd_pkts").alias("fwd_bytes"),
         F.col(order).alias("_order"),
+        *sessions,
     )
     swept = (
         pairs.groupBy("src", "dst")
@@ -135,7 +139,7 @@ def port_sweeps(
         suspects = touched.join(F.broadcast(local.select(*pair)), pair, "left_semi")
     else:
         suspects = salted_join(touched, swept.select(*pair), pair, "inner")
-    walked = port_walks(suspects, pair, "_order", "port", bits)
+    walked = port_walks(suspects, pair, "_order", "port", bits, sessions)
     return swept.join(walked, pair, "left").withColumn("pattern", F.coalesce("pattern", F.lit("none")))
 
 
@@ -156,14 +160,15 @@ def walk_pattern(distinct: Column, low: Column, high: Column, steps: Column, uni
 
 
 def port_walks(
-    contacts: DataFrame, keys: Sequence[str], order: str, port: str = "port", bits: int = ROW_BITS
+    contacts: DataFrame, keys: Sequence[str], order: str, port: str = "port", bits: int = ROW_BITS,
+    sessions: Sequence[str] = (),
 ) -> DataFrame:
-    """Walk pattern per key over positive ports in contact order.
+    """Walk pattern per key over positive ports in contact order, `sessions` before `order`.
 
     Steps are formed inside order buckets with one carried port per bucket, then reduced to counts: a pair that owns
     most of the flows is never gathered.
     """
-    stepped = with_previous(contacts.select(*keys, order, port), keys, order, [port], "prev_", bits)
+    stepped = with_previous(contacts.select(*keys, *sessions, order, port), keys, order, [port], "prev_", bits, sessions)
     step = F.abs(F.col(port) - F.col(f"prev_{port}"))
     return (
         stepped.withColumn("_step", step)
@@ -250,18 +255,21 @@ def signature_hits(
         F.when(
             ddos,
             F.format_string(
-                "%d concurrent sources -> %s at %.0f observed packets/s", "unique_sources", "victim", "packet_rate"
+                "%d concurrent sources -> %s at %.0f observed packets/s", "unique_sources", "victim", F.bround("packet_rate")
             ),
         )
-        .otherwise(F.format_string("single source -> %s at %.0f observed packets/s", "victim", "packet_rate"))
+        .otherwise(F.format_string("single source -> %s at %.0f observed packets/s", "victim", F.bround("packet_rate")))
         .alias("detail"),
         "flow_count",
     )
+    limits = {"min_syn": SYN_MIN_COUNT, "min_packet_rate": SYN_MIN_PACKET_RATE, **dict(syn or {})}
     half_open = flows.agg(F.count_if(is_syn_flood(flows, **dict(syn or {}))).alias("flow_count"))
     half_open = half_open.where(F.col("flow_count") > 0).select(
         F.lit("syn-flood").alias("rule"),
         F.lit("DoS").alias("state"),
-        F.format_string("%d flow(s) with many SYNs, few ACKs and a high packet rate", "flow_count").alias("detail"),
+        F.format_string(
+            f"%d flow(s) with SYN>={limits['min_syn']}, few ACKs, >={limits['min_packet_rate']:.0f} pkts/s", "flow_count"
+        ).alias("detail"),
         "flow_count",
     )
     sweeps = port_sweeps(flows, order, **dict(sweep or {})).select(
@@ -269,7 +277,7 @@ def signature_hits(
         F.lit("PortScan").alias("state"),
         F.format_string(
             "%s -> %s: %d distinct ports, %s order, %.0f avg fwd bytes", "src", "dst", "unique_ports", "pattern",
-            "mean_fwd_bytes",
+            F.bround("mean_fwd_bytes"),
         ).alias("detail"),
         "flow_count",
     )

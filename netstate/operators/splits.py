@@ -149,16 +149,24 @@ def require_partition_length(
 
 
 def first_per_class(
-    rows: DataFrame, limit: int, label: str, order: str, bits: int = ROW_BITS
+    rows: DataFrame, limit: int, label: str, order: str, bits: int = ROW_BITS, sessions: Sequence[str] = ()
 ) -> DataFrame:
-    """The first `limit` rows of each class in source order."""
-    numbered = with_position(rows, [label], order, bits, "_position")
+    """The first `limit` rows of each class in source order; a NULL label is a class.
+
+    Rows of several sessions stand in the order of the columns `sessions` (such as session_rank) and then of `order`.
+    """
+    numbered = with_position(rows, [label], order, bits, "_position", lead=sessions)
     return numbered.where(F.col("_position") <= limit).drop("_position")
 
 
-def split_within_class(rows: DataFrame, label: str, order: str, ratio: float = 0.8, bits: int = ROW_BITS) -> DataFrame:
-    """Cut every class in source order: the first max(1, int(ratio * count)) rows train, the rest validate."""
-    numbered = with_position(rows, [label], order, bits, "_position", "_total")
+def split_within_class(
+    rows: DataFrame, label: str, order: str, ratio: float = 0.8, bits: int = ROW_BITS, sessions: Sequence[str] = ()
+) -> DataFrame:
+    """Cut every class in source order: the first max(1, int(ratio * count)) rows train, the rest validate.
+
+    `sessions` as in `first_per_class`.
+    """
+    numbered = with_position(rows, [label], order, bits, "_position", "_total", lead=sessions)
     cut = F.greatest(F.lit(1), F.floor(F.col("_total") * F.lit(ratio)))
     split = F.when(F.col("_position") <= cut, F.lit("train")).otherwise(F.lit("validation"))
     return numbered.withColumn("split", split).drop("_position", "_total")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netstate.constants import WINDOW_SECONDS
+from netstate.constants import STATE_CLASSES, WINDOW_SECONDS
 from netstate.scale import ROW_BITS, WINDOW_BITS, bucket_of, with_next, with_position, with_previous
 
 SESSION = ("session_id",)
@@ -135,3 +135,24 @@ def packet_rates(
     gained = F.col(counter) - F.col(f"prev_{counter}")
     rate = F.when((seconds > 0) & (gained >= 0), gained / seconds).otherwise(F.lit(0.0))
     return linked.where(F.col(f"prev_{time}").isNotNull()).select(*keys, time, rate.alias("packets_per_second"))
+
+
+def chronological_position(
+    rows: DataFrame, time: str, order: str, keys: Sequence[str] = SESSION, position: str = "place", bits: int = 32
+) -> DataFrame:
+    """Stable chronological place of every row of its session: by time, equal times in the order of `order`.
+
+    Rows without a time come first. Buckets are 2**bits microseconds long (about 72 minutes).
+    """
+    timed = rows.withColumn("_micros", F.unix_micros(F.col(time).cast("timestamp")))
+    return with_position(timed, keys, "_micros", bits, position, ties=[order]).drop("_micros")
+
+
+def join_predictions(
+    truth: DataFrame, predictions: DataFrame, keys: Sequence[str] = ("session_id", "flow_seq"), label: str = "y_true",
+    predicted: str = "y_pred", classes: Sequence[str] = tuple(STATE_CLASSES),
+) -> DataFrame:
+    """Rows that both tables label with one of the classes, by session and row number."""
+    left = truth.where(F.col(label).isin(list(classes))).select(*keys, label)
+    right = predictions.where(F.col(predicted).isin(list(classes))).select(*keys, predicted)
+    return left.join(right, list(keys))

@@ -21,9 +21,9 @@ SESSION = ("session_id",)
 def validate_dataset(
     flows: DataFrame, states: DataFrame, changes: DataFrame, sequences: DataFrame, split_sequences: DataFrame,
     window_seconds: int = WINDOW_SECONDS, row_columns: Sequence[str] | None = None,
-    length: int = SEQUENCE_LENGTH, keys: Sequence[str] = SESSION,
+    length: int = SEQUENCE_LENGTH, keys: Sequence[str] = SESSION, features: Sequence[str] = STATE_FEATURES,
 ) -> DataFrame:
-    """The ten checks of a prepared dataset, one row each, and `overall`."""
+    """The checks of a prepared dataset, one row each, and `overall`; the last one looks for features named like a target."""
     columns = list(row_columns or [c for c in flows.columns if c not in (*keys, "flow_seq")])
     return audits.combine_checks(
         {
@@ -37,6 +37,7 @@ def validate_dataset(
             "sequences": audits.sequence_check(states, sequences, length, keys),
             "chronological_split": audits.split_order_check(split_sequences, keys),
             "leakage": audits.leakage_check(split_sequences, keys),
+            "label_leakage": audits.label_leakage_check(features, states),
         }
     )
 
@@ -49,16 +50,15 @@ def dataset_summary(flows: DataFrame, states: DataFrame, sequences: DataFrame, t
         F.count(timestamp).alias("timestamps_valid"),
         (F.count(F.lit(1)) - F.count(timestamp)).alias("timestamps_invalid"),
         ((F.max(micros) - F.min(micros)) / 1_000_000).alias("span_seconds"),
-    ).withColumn("_one", F.lit(1))
+    )
     windows = states.groupBy(*SESSION).agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(f"{c.lower()}_flow_count").alias(c) for c in STATE_CLASSES]
     ).agg(
         F.sum("_n").alias("total_windows"),
         F.sum(F.col("_n") - 1).alias("transitions"),
         *[F.sum(c).alias(f"{c.lower()}_flows") for c in STATE_CLASSES],
-    ).withColumn("_one", F.lit(1))
-    counted = sequences.agg(F.count(F.lit(1)).alias("total_sequences")).withColumn("_one", F.lit(1))
-    return rows.join(windows, "_one").join(counted, "_one").drop("_one")
+    )
+    return audits.one_row(rows, windows, sequences.agg(F.count(F.lit(1)).alias("total_sequences")))
 
 
 def insufficient_data(
@@ -106,6 +106,8 @@ def prepare_dataset(
     if states.groupBy(*keys).count().where(F.col("count") > length).isEmpty():
         report = insufficient_data(timed, states, length, window_seconds, keys).orderBy(*keys).first()
         raise ValueError(report["message"] if report else "The source has no timed flows.")
+    if "flow_seq" not in timed.columns:
+        timed = timed.withColumn("flow_seq", F.monotonically_increasing_id())
     gates = audits.build_gates(timed, assign_windows(timed, window_seconds, keys=keys), states, keys=keys)
     failed = [row["gate"] for row in gates.where(~F.col("passed")).collect()]
     if failed:

@@ -11,26 +11,29 @@ from pyspark.sql import functions as F
 
 from netstate.scale import WINDOW_BITS, bucket_of
 
+#: With buckets of 2**16, four levels cover every 64-bit order.
+LEVELS = 4
+
 
 def sample_digest(
     samples: DataFrame, sample_id: str, order: str, keys: Sequence[str], bits: int = WINDOW_BITS
 ) -> DataFrame:
-    """Order-sensitive sha-256 of the sample ids of each key.
+    """Order-sensitive sha-256 of the sample ids of each key, as the root of a tree of digests.
 
-    Ids are digested per bucket of `order`, and the bucket digests again in bucket order, so no task holds more than
-    one bucket of ids.
+    Ids are digested per bucket of 2**bits values of `order`, buckets per 2**bits buckets, and so on for LEVELS levels, so
+    that no task holds more than one bucket of ids or of digests.
     """
     entry = F.struct(F.col(order).alias("o"), F.col(sample_id).cast("string").alias("s"))
-    in_bucket = samples.groupBy(*keys, bucket_of(order, bits).alias("_bucket")).agg(
-        F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list(entry)).alias("_ids")
-    )
-    hashed = in_bucket.select(
-        *keys, "_bucket", "_n", F.sha2(F.array_join(F.transform("_ids", lambda e: e["s"]), "\n"), 256).alias("_digest")
+    joined = lambda items: F.sha2(F.array_join(F.transform(items, lambda e: e["s"]), "\n"), 256)
+    level = samples.groupBy(*keys, bucket_of(order, bits).alias("o")).agg(
+        F.count(F.lit(1)).alias("n"), joined(F.array_sort(F.collect_list(entry))).alias("s")
     )
-    ordered = F.array_sort(F.collect_list(F.struct("_bucket", "_digest")))
-    return hashed.groupBy(*keys).agg(
-        F.sum("_n").alias("samples"),
-        F.sha2(F.array_join(F.transform(ordered, lambda e: e["_digest"]), "\n"), 256).alias("digest"),
+    for _ in range(LEVELS - 2):
+        level = level.groupBy(*keys, F.shiftright("o", bits).alias("_up")).agg(
+            F.sum("n").alias("n"), joined(F.array_sort(F.collect_list(F.struct("o", "s")))).alias("s")
+        ).withColumnRenamed("_up", "o")
+    return level.groupBy(*keys).agg(
+        F.sum("n").alias("samples"), joined(F.array_sort(F.collect_list(F.struct("o", "s")))).alias("digest")
     )
 
 

@@ -21,7 +21,7 @@ SESSION = ("session_id",)
 
 def walk_forward(
     states: DataFrame, features: Sequence[str] = STATE_FEATURES, folds: int = ROLLING_FOLDS,
-    length: int = SEQUENCE_LENGTH, iterations: int = 20, capped: bool = False,
+    length: int = SEQUENCE_LENGTH, iterations: int = 100, capped: bool = False,
 ) -> DataFrame:
     """Predictions of every rolling fold: trained on earlier windows, evaluated on the purged block that follows."""
     parts = stage(splits.rolling_folds(states, folds, length))
@@ -43,7 +43,7 @@ def walk_forward(
     return out
 
 
-def select_weighting(states: DataFrame, features: Sequence[str] = STATE_FEATURES, iterations: int = 20) -> str:
+def select_weighting(states: DataFrame, features: Sequence[str] = STATE_FEATURES, iterations: int = 100) -> str:
     """Training variant with the best mean fold macro F1; ties prefer the unweighted one."""
     scores = {}
     for name, capped in (("unweighted", False), ("capped_class_weighted", True)):
@@ -53,7 +53,7 @@ def select_weighting(states: DataFrame, features: Sequence[str] = STATE_FEATURES
 
 
 def evaluate_against_persistence(
-    states: DataFrame, features: Sequence[str] = STATE_FEATURES, iterations: int = 20, capped: bool = False
+    states: DataFrame, features: Sequence[str] = STATE_FEATURES, iterations: int = 100, capped: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Held-out predictions of the forecaster and of the persistence baseline, and the promotion gates."""
     parts = stage(splits.final_split(states))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from netstate.constants import INVALID_STATE, STATE_CLASSES
 from netstate.functions.labels import effective_state
-from netstate.functions.values import finite_number
+from netstate.functions.values import all_present, finite_number
 from netstate.operators.metrics import PROBABILITIES
 from netstate.operators.modeling import with_probabilities
 from netstate.operators.signatures import attack_class, capture_verdict, signature_states
@@ -25,9 +25,7 @@ def score_flows(flows: DataFrame, model, scaler: MinMaxModel, features: Sequence
     from pyspark.ml.functions import array_to_vector
 
     cleaned = [finite_number(F.col(f"`{f}`")) for f in features]
-    valid = cleaned[0].isNotNull()
-    for column in cleaned[1:]:
-        valid = valid & column.isNotNull()
+    valid = all_present(cleaned)
     vector = array_to_vector(F.array(*[scaler.scaled(f, F.coalesce(c, F.lit(0.0))) for f, c in zip(features, cleaned)]))
     scored = with_probabilities(model.transform(flows.withColumns({"_valid": valid, "features": vector})))
     state = F.when(F.col("_valid"), F.col("y_pred")).otherwise(F.lit(INVALID_STATE))

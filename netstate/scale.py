@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ ROW_BITS = 20
 WINDOW_BITS = 16
 SALTS = 64
 SMALL_SIDE_ROWS = 100_000
+SMALL_SIDE_BYTES = 16 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -47,15 +49,20 @@ def bucket_of(order: str | Column, bits: int) -> Column:
 
 
 def join_small(
-    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = SMALL_SIDE_ROWS
+    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = SMALL_SIDE_ROWS,
+    max_bytes: int = SMALL_SIDE_BYTES,
 ) -> DataFrame:
-    """Join a large table to a summary: broadcast below a checked row count, salted shuffle join above it.
+    """Join a large table to a summary: broadcast below a checked size, salted shuffle join above it.
 
-    `small` has at most one row per key.
+    `small` has at most one row per key. It is computed and stored once; its rows and bytes (of the row format) decide.
     """
-    local = bounded_rows(small, max_rows)
-    if local is not None:
-        return big.join(F.broadcast(local), list(on), how)
+    small = stage(small)
+    row_bytes = 8 * (len(small.columns) + 2)
+    texts = [f.name for f in small.schema.fields if f.dataType.typeName() == "string"]
+    lengths = [F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`"))), F.lit(0)) for c in texts]
+    size = small.agg(F.count(F.lit(1)).alias("n"), sum(lengths, F.lit(0)).alias("text")).first()
+    if size["n"] <= max_rows and size["n"] * row_bytes + size["text"] <= max_bytes:
+        return big.join(F.broadcast(small), list(on), how)
     return salted_join(big, small, on, how)
 
 
@@ -68,44 +75,57 @@ def bounded_rows(small: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame
 def salted_join(
     big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS
 ) -> DataFrame:
-    """Equi join of a large table with a summary too large to broadcast, safe for keys that own much of `big`.
+    """Equi join (inner or left) of a large table with a summary too large to broadcast, safe for keys that own much of `big`.
 
     Keys with more than 0.1 % of the rows, of which there are fewer than a thousand, are spread over `salts`
-    partitions; their rows of `small` are repeated once per salt. All other keys are joined as they are.
+    partitions; their rows of `small` are repeated once per salt. All other keys are joined as they are. Rows with a NULL
+    key match nothing; they pass by the join and are put back for a left one.
     """
     on = list(on)
-    total = big.count()
-    heavy = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > F.lit(total / 1000))
-    heavy = heavy.select(*on, F.lit(True).alias("_hot"))
-    hot = F.broadcast(big.sparkSession.createDataFrame(heavy.collect(), heavy.schema))
+    some = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in on])
+    keyed = big.where(some)
+    counts = stage(keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    heavy = counts.where(F.col("_n") > F.lit(total / 1000)).select(*on, F.lit(True).alias("_hot"))
+    hot = F.broadcast(heavy)
     row_salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int")
-    spread = big.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), row_salt).otherwise(F.lit(0)))
+    spread = keyed.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), row_salt).otherwise(F.lit(0)))
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = small.join(hot, on, "left").withColumn("_salt", F.explode(copies))
-    return spread.drop("_hot").join(repeated.drop("_hot"), [*on, "_salt"], how).drop("_salt")
+    joined = spread.drop("_hot").join(repeated.drop("_hot"), [*on, "_salt"], how).drop("_salt")
+    return joined.unionByName(big.where(~some), allowMissingColumns=True) if how == "left" else joined
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys where NULL equals NULL; `right` adds its other columns."""
+    renamed = right.withColumnsRenamed({k: f"_right_{i}" for i, k in enumerate(keys)})
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_right_{i}")) for i, k in enumerate(keys)]
+    return left.join(renamed, same).drop(*[f"_right_{i}" for i in range(len(keys))])
 
 
 def with_position(
     df: DataFrame, keys: Sequence[str], order: str, bits: int = ROW_BITS, position: str = "position",
-    total: str | None = None,
+    total: str | None = None, lead: Sequence[str] = (), ties: Sequence[str] = (),
 ) -> DataFrame:
     """1-based row number of `order` within `keys`, and optionally the row count of the key.
 
-    Equals ``row_number() over (partition by keys order by order)`` without gathering a key in one task: rows are
-    numbered within their bucket and shifted by the number of rows in earlier buckets.
+    Equals ``row_number() over (partition by keys order by lead, order, ties)`` without gathering a key in one task: rows
+    are numbered within their bucket and shifted by the number of rows in earlier buckets. A NULL key is a key of its
+    own; rows whose `order` is NULL come first and share one bucket. `lead` columns have few values each, such as the
+    rank of a session.
     """
-    keys = list(keys)
+    keys, lead = list(keys), list(lead)
     bucketed = df.withColumn("_bucket", bucket_of(order, bits))
-    counts = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    parts = [*keys, *lead, "_bucket"]
+    counts = bucketed.groupBy(*parts).agg(F.count(F.lit(1)).alias("_rows"))
     per_key = Window.partitionBy(*keys)
     offsets = counts.select(
-        *keys,
-        "_bucket",
-        (F.sum("_rows").over(per_key.orderBy("_bucket")) - F.col("_rows")).alias("_before"),
+        *parts,
+        (F.sum("_rows").over(per_key.orderBy(*lead, "_bucket")) - F.col("_rows")).alias("_before"),
         F.sum("_rows").over(per_key).alias("_rows_of_key"),
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
-    numbered = bucketed.join(offsets, [*keys, "_bucket"]).withColumn(
+    inside = Window.partitionBy(*parts).orderBy(order, *ties)
+    numbered = join_null_safe(bucketed, offsets, parts).withColumn(
         position, (F.row_number().over(inside) + F.col("_before")).cast("long")
     )
     added = [F.col(position)] + ([F.col("_rows_of_key").alias(total)] if total else [])
@@ -114,30 +134,32 @@ def with_position(
 
 def with_next(
     df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], prefix: str = "next_",
-    bits: int = ROW_BITS,
+    bits: int = ROW_BITS, lead: Sequence[str] = (),
 ) -> DataFrame:
-    """Columns of the following row of the key, as ``lead`` would give them."""
-    return _with_neighbour(df, keys, order, columns, prefix, bits, forward=True)
+    """Columns of the following row of the key, as ``lead`` would give them. Keys, NULLs and `lead`: see `with_position`."""
+    return _with_neighbour(df, keys, order, columns, prefix, bits, list(lead), forward=True)
 
 
 def with_previous(
     df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], prefix: str = "prev_",
-    bits: int = ROW_BITS,
+    bits: int = ROW_BITS, lead: Sequence[str] = (),
 ) -> DataFrame:
-    """Columns of the preceding row of the key, as ``lag`` would give them."""
-    return _with_neighbour(df, keys, order, columns, prefix, bits, forward=False)
+    """Columns of the preceding row of the key, as ``lag`` would give them. Keys, NULLs and `lead`: see `with_position`."""
+    return _with_neighbour(df, keys, order, columns, prefix, bits, list(lead), forward=False)
 
 
-def _with_neighbour(df, keys, order, columns, prefix, bits, forward):
-    keys = list(keys)
+def _with_neighbour(df, keys, order, columns, prefix, bits, lead, forward):
+    parts = [*keys, *lead, "_bucket"]
     payload = F.struct(*[F.col(c) for c in columns])
     step = F.lead if forward else F.lag
     border = F.min_by if forward else F.max_by
     bucketed = df.withColumn("_bucket", bucket_of(order, bits))
-    borders = bucketed.groupBy(*keys, "_bucket").agg(border(payload, F.col(order)).alias("_edge"))
-    borders = borders.withColumn("_edge", step("_edge").over(Window.partitionBy(*keys).orderBy("_bucket")))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
-    joined = bucketed.join(borders, [*keys, "_bucket"]).withColumn(
+    # A NULL order stands before every value, as it does in the window.
+    place = F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 63)).cast("long"))
+    borders = bucketed.groupBy(*parts).agg(border(payload, place).alias("_edge"))
+    borders = borders.withColumn("_edge", step("_edge").over(Window.partitionBy(*keys).orderBy(*lead, "_bucket")))
+    inside = Window.partitionBy(*parts).orderBy(order)
+    joined = join_null_safe(bucketed, borders, parts).withColumn(
         "_neighbour", F.coalesce(step(payload).over(inside), F.col("_edge"))
     )
     added = [F.col(f"_neighbour.{c}").alias(f"{prefix}{c}") for c in columns]
@@ -150,7 +172,7 @@ def with_running_total(
     """Running sum of `value` in `order` within `keys`, current row included."""
     keys = list(keys)
     bucketed = df.withColumn("_bucket", bucket_of(order, bits))
-    sums = bucketed.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_sum"))
+    sums = bucketed.groupBy(*keys, "_bucket").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_sum"))
     offsets = sums.withColumn(
         "_before", F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_sum")
     ).drop("_sum")
@@ -158,8 +180,8 @@ def with_running_total(
         Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        bucketed.join(offsets, [*keys, "_bucket"])
-        .withColumn(name, F.sum(value).over(inside) + F.col("_before"))
+        join_null_safe(bucketed, offsets, [*keys, "_bucket"])
+        .withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col("_before"))
         .drop("_bucket", "_before")
     )
 

@@ -15,6 +15,8 @@ def build_session(app_name: str = "netstate", master: str | None = None, conf: d
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Staged tables go when nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Plans consist of many small expressions; a Python call site for each one doubles the time to build them.
         "spark.sql.dataFrameQueryContext.enabled": "false",
         "spark.python.sql.dataFrameDebugging.enabled": "false",

