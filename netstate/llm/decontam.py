@@ -26,8 +26,6 @@ EDITS = 0.2
 LEAST_WORDS = 5
 RECALL = 0.97
 MOST_REPETITIONS = 256
-#: A shifted window counts as worse if it shares more than so many pairs less.
-SLACK = 2
 SAMPLES = 2
 PAIR_BITS = 22
 SIZED_BITS = 26
@@ -228,19 +226,8 @@ def prepare(items: DataFrame, edits: float = EDITS, samples: int = SAMPLES, reca
     return search, keys
 
 
-def nearby_most(starts: np.ndarray, values: np.ndarray, reach: int) -> np.ndarray:
-    """For each of the sorted starts the greatest value within `reach` words."""
-    low = np.searchsorted(starts, starts - reach)
-    high = np.searchsorted(starts, starts + reach, "right")
-    bounded = np.append(values, -1)
-    return np.maximum.reduceat(bounded, np.stack([low, high], 1).ravel())[::2]
-
-
 def candidate_windows(words: np.ndarray, ends: np.ndarray, search: Search):
-    """(start, size) of the windows that share enough pairs with the items of their size.
-
-    Of windows that differ by a shift within the allowed edits, those that share clearly fewer pairs are left out.
-    """
+    """(start, size) of the windows that share enough pairs with the items of their size."""
     m = len(words)
     if m < 2 or not search.sizes:
         return
@@ -268,12 +255,9 @@ def candidate_windows(words: np.ndarray, ends: np.ndarray, search: Search):
             for a in range(0, len(own), 20_000):
                 part = own[a : a + 20_000]
                 inside = pairs[part[:, None] + np.arange(n - 1)]
-                shared = is_set(search.sized, _sized(inside, n)).sum(1)
-                good = shared >= need[n]
+                good = is_set(search.sized, _sized(inside, n)).sum(1) >= need[n]
                 if good.any():
-                    part, shared = part[good], shared[good]
-                    best = shared >= nearby_most(part, shared, allowed(n, search.edits)) - SLACK
-                    yield part[best], n
+                    yield part[good], n
         i = j + 1
 
 

@@ -134,6 +134,23 @@ def test_embedding_turns_few_edits_into_few_differences():
     assert decontam.edit_distances(a, b).tolist() == [edit(x.tolist(), y.tolist()) for x, y in zip(a, b)]
 
 
+def test_decontamination_keeps_windows_beside_better_ones(spark):
+    word = lambda k, name: [f"{name}{k}x{i}" for i in range(100)]
+    items, texts = [], []
+    for k in range(10):  # (a) before an item with a rewritten end stand pairs of another item of its size
+        a, b = word(k, "a"), word(k, "b")
+        items += [a, b]
+        texts.append(b[40:58] + a[:82] + [f"n{k}x{i}" for i in range(18)])
+    for k in range(10):  # (b) two items overlap, and the text holds the first as it is and the end of the second rewritten
+        c = word(k, "c")
+        items += [c, c[15:] + [f"d{k}x{i}" for i in range(15)]]
+        texts.append(c + [f"m{k}x{i}" for i in range(15)])
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(rows(spark, [" ".join(t) for t in texts]), bench).collect()}
+    assert sum((k, 2 * k) in got for k in range(10)) >= 9
+    assert sum((k, 2 * k + 1) in got for k in range(10, 20)) >= 9 and all((k, 2 * k) in got for k in range(10, 20))
+
+
 def test_decontamination_query_equals_brute_force(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
