@@ -5,7 +5,8 @@ so windows are first counted against bit maps of the items' pairs (nothing is lo
 walks through the window: at step j it writes the word it stands on and moves on if a random function of (j, word) says
 so, which turns few edits into few differing places. Samples of places are hashed, once for each repetition with its own
 random functions; windows and items that share a hash are compared by exact edit distance. The number of
-repetitions follows from the wanted recall, measured on edited copies of items.
+repetitions follows from the wanted recall, measured for each size on edited copies of items. A whole text that lacks at
+most the allowed number of an item's words is a window of that item, too.
 """
 
 from __future__ import annotations
@@ -34,13 +35,17 @@ KEY_BITS = 26
 
 @dataclass
 class Search:
-    """What a scan needs to know of the items: their sizes, bit maps of their pairs and hashes, and the repetitions."""
+    """What a scan needs to know of the items: their sizes, bit maps of their pairs and hashes, and the repetitions.
+
+    `short_repetitions` is for whole texts that are shorter than an item.
+    """
 
     sizes: list[int]
     pairs: np.ndarray
     sized: np.ndarray
     keys: np.ndarray
     repetitions: int
+    short_repetitions: int
     edits: float = EDITS
     samples: int = SAMPLES
 
@@ -94,11 +99,11 @@ def embedding_hashes(windows: np.ndarray, sizes: np.ndarray, repetition: int, sa
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact edit distances of the rows of a and b (equal shapes)."""
-    count, n = a.shape
+    """Exact edit distances of the rows of a and b, which may differ in width."""
+    count, n = b.shape
     index = np.arange(n + 1)
     row = np.broadcast_to(index, (count, n + 1)).copy()
-    for i in range(n):
+    for i in range(a.shape[1]):
         new = np.empty_like(row)
         new[:, 0] = i + 1
         new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (a[:, i : i + 1] != b))
@@ -106,29 +111,48 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, -1]
 
 
-def repetitions_for(sizes: list[int], edits: float, samples: int, recall: float, seed: int = 3) -> int:
-    """Repetitions that find this share of windows with as many edits as allowed, on random words with random edits."""
+#: Kinds of copies that a search must find: words replaced; as many inserted as deleted; deleted only (a shorter whole text).
+COPIES = ("replaced", "shifted", "shortened")
+
+
+def edited(items: np.ndarray, edits: int, kind: str, rng: np.random.Generator) -> list[np.ndarray]:
+    """A copy of each row with so many random edits of a kind; the odd edit of `shifted` replaces a word."""
+    out = []
+    for words in items:
+        fresh = rng.integers(1, 1 << 62, edits, dtype=np.uint64)
+        where = rng.choice(len(words), edits, replace=False)
+        deleted = {"replaced": 0, "shifted": edits // 2, "shortened": edits}[kind]
+        inserted = deleted if kind == "shifted" else 0
+        own = words.copy()
+        replaced = edits - deleted - inserted
+        own[where[:replaced]] = fresh[:replaced]
+        own = np.delete(own, where[replaced : replaced + deleted])
+        out.append(np.insert(own, rng.integers(0, len(own) + 1, inserted), fresh[edits - inserted :]))
+    return out
+
+
+def repetitions_for(sizes: list[int], edits: float, samples: int, recall: float, seed: int = 3, kinds: tuple[str, ...] = COPIES[:2]) -> int:
+    """Repetitions that find this share of the windows of each size and kind of copy with as many edits as allowed.
+
+    Measured on random words for up to eight of the sizes, the least and the greatest among them. It is an error if
+    MOST_REPETITIONS do not reach the recall.
+    """
     rng = np.random.default_rng(seed)
-    chosen = [sizes[i] for i in np.unique(np.linspace(0, len(sizes) - 1, 8).astype(int))] if sizes else []
-    if not chosen:
-        return 1
-    first, second = [], []
-    for n in chosen:
-        items = rng.integers(1, 1 << 62, (40, n), dtype=np.uint64)
-        copies = items.copy()
-        for i in range(len(items)):
-            where = rng.choice(n, allowed(n, edits), replace=False)
-            copies[i, where] = rng.integers(1, 1 << 62, len(where), dtype=np.uint64)
-        first.append(items)
-        second.append(copies)
-    items, sizes = padded(first, max(chosen))
-    copies, _ = padded(second, max(chosen))
-    hit = np.zeros(len(sizes), bool)
-    for repetition in range(MOST_REPETITIONS):
-        hit |= embedding_hashes(items, sizes, repetition, samples) == embedding_hashes(copies, sizes, repetition, samples)
-        if hit.mean() >= recall:
-            return repetition + 1
-    return MOST_REPETITIONS
+    most = 1
+    for n in [sizes[i] for i in np.unique(np.linspace(0, len(sizes) - 1, 8).astype(int))] if sizes else []:
+        for kind in kinds:
+            one, width = padded([rng.integers(1, 1 << 62, (100, n), dtype=np.uint64)], n)
+            copies = np.zeros_like(one)
+            for held, copy in zip(copies, edited(one[:, :n], allowed(n, edits), kind, rng)):
+                held[: len(copy)] = copy
+            hit, repetition = np.zeros(len(one), bool), 0
+            while hit.mean() < recall:
+                if repetition == MOST_REPETITIONS:
+                    raise ValueError(f"{MOST_REPETITIONS} repetitions find {hit.mean():.2f} of the copies of {n} words ({kind}), not {recall}.")
+                hit |= embedding_hashes(one, width, repetition, samples) == embedding_hashes(copies, width, repetition, samples)
+                repetition += 1
+            most = max(most, repetition)
+    return most
 
 
 def item_rows(items: DataFrame, key: str, text: str, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -203,7 +227,8 @@ def prepare(items: DataFrame, edits: float = EDITS, samples: int = SAMPLES, reca
     """The search and the table of item hashes. What goes to the driver is bounded: item sizes and three bit maps."""
     sizes = sorted(r[0] for r in items.select("n").distinct().collect())
     repetitions = repetitions_for(sizes, edits, samples, recall)
-    keys = stage(item_keys(items, repetitions, samples))
+    short = repetitions_for(sizes, edits, samples, recall, kinds=COPIES[2:])
+    keys = stage(item_keys(items, max(repetitions, short), samples))
 
     def pair_places(sized):
         def places(batch):
@@ -221,7 +246,7 @@ def prepare(items: DataFrame, edits: float = EDITS, samples: int = SAMPLES, reca
 
     search = Search(
         sizes, bit_map(items, PAIR_BITS, pair_places(False)), bit_map(items, SIZED_BITS, pair_places(True)),
-        bit_map(keys, KEY_BITS, key_places), repetitions, edits, samples,
+        bit_map(keys, KEY_BITS, key_places), repetitions, short, edits, samples,
     )
     return search, keys
 
@@ -261,9 +286,26 @@ def candidate_windows(words: np.ndarray, ends: np.ndarray, search: Search):
         i = j + 1
 
 
+def short_texts(words: np.ndarray, ends: np.ndarray, search: Search):
+    """(start, words, size) of the whole texts that lack at most the allowed words of a size and share enough pairs with its items."""
+    lengths = np.diff(ends)
+    if len(words) < 2:
+        return
+    pairs = T.pair(words[:-1], words[1:])
+    present = np.unique(lengths[lengths > 0])
+    for n in search.sizes:
+        k = allowed(n, search.edits)
+        for m in present[np.searchsorted(present, n - k) : np.searchsorted(present, n)]:
+            at = ends[:-1][lengths == m]
+            shared = is_set(search.sized, _sized(pairs[at[:, None] + np.arange(m - 1)], n)).sum(1)
+            at = at[shared >= n - 1 - 2 * k]
+            if len(at):
+                yield at, m, n
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
                item_text: str = "text", edits: float = EDITS, recall: float = RECALL) -> DataFrame:
-    """(key, item_key, start, n_words, distance): the best window of each text for each item it holds.
+    """(key, item_key, start, n_words, distance): the best window of each text for each item it holds; n_words is the item's size.
 
     start counts words (runs of digits, letters and non-ASCII characters, in lower case). Items of fewer than LEAST_WORDS
     words, and null ones, are not searched for; equal items are found each. Rows that share a key are treated as parts of
@@ -280,28 +322,44 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         longest = max(s.sizes, default=0)
         for batch in batches:
             rows, starts, windows = [], [], []
+            short_rows, short_windows, short_sizes = [], [], []
             for first, words, ends in words_of(batch.column("t")):
                 for at, n in candidate_windows(words, ends, s):
                     home = np.searchsorted(ends, at, "right") - 1
                     rows.append(first + home)
                     starts.append(at - ends[home])
                     windows.append(words[at[:, None] + np.arange(n)])
+                for at, m, n in short_texts(words, ends, s):
+                    short_rows.append(first + np.searchsorted(ends, at, "right") - 1)
+                    short_windows.append(words[at[:, None] + np.arange(m)])
+                    short_sizes.append(np.full(len(at), n))
                 if sum(map(len, rows)) > 50_000:
-                    yield from hashed(s, batch, rows, starts, windows, longest)
+                    held, sizes = padded(windows, longest)
+                    yield from hashed(s, batch, rows, starts, held, sizes, sizes, s.repetitions)
                     rows, starts, windows = [], [], []
+                if sum(map(len, short_rows)) > 50_000:
+                    yield from hashed_short(s, batch, short_rows, short_windows, short_sizes, longest)
+                    short_rows, short_windows, short_sizes = [], [], []
             if rows:
-                yield from hashed(s, batch, rows, starts, windows, longest)
+                held, sizes = padded(windows, longest)
+                yield from hashed(s, batch, rows, starts, held, sizes, sizes, s.repetitions)
+            if short_rows:
+                yield from hashed_short(s, batch, short_rows, short_windows, short_sizes, longest)
+
+    def hashed_short(s, batch, rows, windows, sizes, longest):
+        held, lengths = padded(windows, longest)
+        starts = [np.zeros(len(held), np.int64)]
+        yield from hashed(s, batch, rows, starts, held, lengths, np.concatenate(sizes), s.short_repetitions)
 
-    def hashed(s, batch, rows, starts, windows, longest):
-        held, sizes = padded(windows, longest)
+    def hashed(s, batch, rows, starts, held, lengths, sizes, repetitions):
         rows, starts = np.concatenate(rows), np.concatenate(starts)
-        for r in range(s.repetitions):
+        for r in range(repetitions):
             keys_ = embedding_hashes(held, sizes, r, s.samples)
             hit = np.flatnonzero(is_set(s.keys, keys_ >> np.uint64(64 - KEY_BITS)))
-            n = sizes[hit]
-            inside = np.arange(held.shape[1]) < n[:, None]
+            n, m = sizes[hit], lengths[hit]
+            inside = np.arange(held.shape[1]) < m[:, None]
             lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(held[hit][inside].view(np.int64))
+                pa.array(np.concatenate([[0], np.cumsum(m)]).astype(np.int32)), pa.array(held[hit][inside].view(np.int64))
             )
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pa.array(rows[hit])), pa.array(starts[hit]), pa.array(n.astype(np.int32)),
@@ -311,11 +369,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     def verify(batches):
         for batch in batches:
             sizes = batch.column("n").to_numpy()
+            lengths = pc.list_value_length(batch.column("window")).to_numpy()
             distance = np.zeros(len(sizes), np.int64)
-            for n in np.unique(sizes):
-                at = np.flatnonzero(sizes == n)
+            for m, n in np.unique(np.stack([lengths, sizes], 1), axis=0).tolist():
+                at = np.flatnonzero((lengths == m) & (sizes == n))
                 taken = batch.take(pa.array(at))
-                a, b = (taken.column(c).flatten().to_numpy().reshape(-1, n) for c in ("window", "words"))
+                a, b = (taken.column(c).flatten().to_numpy().reshape(-1, w) for c, w in (("window", m), ("words", n)))
                 distance[at] = edit_distances(a, b)
             good = pa.array(distance <= edits * sizes + 1e-9)
             names = ["id", "item", "start", "n"]

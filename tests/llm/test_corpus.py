@@ -151,6 +151,27 @@ def test_decontamination_keeps_windows_beside_better_ones(spark):
     assert sum((k, 2 * k + 1) in got for k in range(10, 20)) >= 9 and all((k, 2 * k) in got for k in range(10, 20))
 
 
+def test_decontamination_finds_whole_texts_that_lack_words(spark):
+    rng = random.Random(4)
+    items = [[f"i{k}x{i}" for i in range(n)] for k, n in enumerate([5, 6, 10, 15, 25, 40, 59, 80] * 5)]
+    texts = []
+    for k, item in enumerate(items):
+        gone = rng.sample(range(len(item)), 1 if k % 2 else len(item) // 5)
+        texts.append([w for i, w in enumerate(item) if i not in gone])
+    texts.append(items[5][9:])  # a word more than allowed is missing
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontam.find_leaks(rows(spark, [" ".join(t) for t in texts]), bench).collect()}
+    assert set(got) <= {(k, k) for k in range(len(items))} and len(got) >= 0.95 * len(items)
+    assert all(d == len(items[k]) - len(texts[k]) for (k, _), d in got.items())
+
+
+def test_repetitions_hold_for_each_size_and_kind_of_edit():
+    short = decontam.repetitions_for([5, 60], 0.2, 2, 0.97, kinds=("shortened",))
+    assert short > decontam.repetitions_for([5, 60], 0.2, 2, 0.97) >= decontam.repetitions_for([5], 0.2, 2, 0.97)
+    with pytest.raises(ValueError, match="repetitions find"):
+        decontam.repetitions_for([400], 0.4, 2, 0.97)
+
+
 def test_decontamination_query_equals_brute_force(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
