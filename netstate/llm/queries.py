@@ -65,7 +65,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = stage(rules.count_signals(table(spark, sf_dir, "documents")))
     judged = rules.apply_cutoffs(counted, rules.adaptive_cutoffs(counted))
-    return judged.drop("group_1", "group_2")
+    return judged.drop("group_1", "group_2", "n_lines")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ def _repeated(values: np.ndarray) -> np.ndarray:
 
 
 def count_run(data: np.ndarray, borders: np.ndarray) -> dict[str, np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text of a run."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (lines with a word) of each text of a run."""
     n = len(borders) - 1
     starts, ends, owner = T.spans(data, borders, T.NOT_SPACE)
     words = T.span_hashes(data, starts, ends)
@@ -62,6 +62,7 @@ def count_run(data: np.ndarray, borders: np.ndarray) -> dict[str, np.ndarray]:
     later = np.ones(len(salted), bool)
     later[first] = False
     counts["n_dup_lines"] = np.bincount(line_owner[later], minlength=n)
+    counts["n_lines"] = np.bincount(line_owner, minlength=n)
     covered = np.zeros(len(words), bool)
     if len(words) > 2:
         inside = owner[2:] == owner[:-2]
@@ -78,22 +79,23 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def count_signals(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """key, the grouping columns as group_1 and group_2, and the five counts of every row; a null text has none of anything."""
+    """key, the grouping columns as group_1 and group_2, the five counts and n_lines of every row; a null text has none of anything."""
     kinds = ", ".join(
         f"{name} {docs.schema[c].dataType.simpleString()}" for name, c in ((f"`{key}`", key), ("group_1", groups[0]), ("group_2", groups[1]))
     )
+    names = [*COUNTS, "n_lines"]
     wanted = docs.select(F.col(key), F.col(groups[0]).alias("group_1"), F.col(groups[1]).alias("group_2"), F.col(text).alias("t"))
 
     def count(batches):
         for batch in batches:
             parts = [count_run(data, borders) for _, data, borders in T.runs(batch.column("t"))]
-            found = [np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in COUNTS]
+            found = [np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in names]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in (key, "group_1", "group_2")] + [pa.array(f) for f in found],
-                [key, "group_1", "group_2", *COUNTS],
+                [key, "group_1", "group_2", *names],
             )
 
-    return wanted.mapInArrow(count, f"{kinds}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return wanted.mapInArrow(count, f"{kinds}, " + ", ".join(f"{c} long" for c in names))
 
 
 def signals() -> dict[str, Column]:
@@ -102,7 +104,7 @@ def signals() -> dict[str, Column]:
     letters = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
     return {
         "symbol_share": F.col("n_symbols") / letters,
-        "dup_line_share": F.col("n_dup_lines") / (F.col("n_dup_lines") + F.lit(10.0)),
+        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double"),
         "repeat_share": F.col("n_repeat_words") / words,
         "long_word_excess": F.col("word_chars") / words,
     }

@@ -63,6 +63,19 @@ def test_rules_on_odd_rows(spark):
     assert rules.apply_cutoffs(none, rules.adaptive_cutoffs(none)).count() == 0
 
 
+def test_repeated_lines_count_by_their_share(spark):
+    line = lambda name, i: " ".join(f"{name}{i}w{j}" for j in range(6))
+    clean = ["\n".join(line(f"c{k}x", i) for i in range(20)) for k in range(300)]
+    long = "\n".join("Summary" if i % 400 == 0 else line("long", i) for i in range(2400))
+    copied = "\n".join(["again"] * 9 + [line("copied", i) for i in range(9)])
+    docs = rows(spark, [*clean, long, copied])
+    counted = rules.count_signals(docs)
+    lines = {r.doc_id: (r.n_lines, r.n_dup_lines) for r in counted.collect()}
+    assert lines[0] == (20, 0) and lines[300] == (2400, 5) and lines[301] == (18, 8)
+    judged = {r.doc_id: r.kept for r in rules.apply_cutoffs(counted, rules.adaptive_cutoffs(counted)).collect()}
+    assert all(judged[i] for i in range(301)) and not judged[301]
+
+
 def test_rules_adapt_to_their_group(spark):
     clean = [" ".join(f"word{i}{j}" for j in range(60)) for i in range(300)]
     noisy = [" ".join(f"w{i}{j} |" for j in range(40)) for i in range(300)]
