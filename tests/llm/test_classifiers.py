@@ -51,6 +51,28 @@ def test_toxicity_of_held_out_texts(spark):
     assert (got.predicted == (got.score >= 0.5)).all()
 
 
+def test_toxicity_of_the_longest_texts(spark):
+    docs, labels = (spark.read.parquet(f"{LARGE}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train_toxicity(queries.labelled(docs, labels.where("doc_id % 4 <> 0"), "toxic"))
+    held = queries.labelled(docs, labels.where("doc_id % 4 = 0"), "toxic").toPandas()
+    long = held[held.text.str.len() >= held.text.str.len().quantile(0.9)]
+    # Characters that no labelled text has, in about a million distinct n-grams, say nothing of a text.
+    rng = np.random.default_rng(0)
+    noise = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 200_000)))
+    texts = [*long.text, *(t + "\n" + noise for t in long.text[:20])]
+    # Clean texts joined to 200,000 characters.
+    clean = "\n".join(held.text[held.toxic == 0])
+    joined = [clean[i : i + 200_000] for i in range(0, len(clean) - 200_000, 200_000)]
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(rows(spark, texts + joined), model).collect()}
+    score = np.array([got[i] for i in range(len(got))])
+    y = long.toxic.to_numpy() == 1
+    alone = score[: len(y)]
+    assert np.allclose(score[len(y) : len(y) + 20], alone[:20], atol=0.01)
+    assert ((alone[:, None] > alone[~y]).mean(1)[y]).mean() > 0.96
+    assert (alone[y] >= 0.5).mean() > 0.75 and (alone[~y] >= 0.5).mean() < 0.05
+    assert len(joined) > 3 and (score[len(texts) :] < 0.5).all()
+
+
 def test_toxicity_of_odd_rows(spark):
     train = rows(spark, ["you idiot clown", "fine day", "an idiot", "a good day"] * 10).withColumn("toxic", (F.col("doc_id") + 1) % 2)
     model = toxicity.train_toxicity(train)
