@@ -275,9 +275,9 @@ def top_flow_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def forest_search(spark: SparkSession, d: str) -> DataFrame:
-    """Random forest of the best of three grid points, on held-out flows."""
+    """Random forest of the best of ten grid points, on held-out flows."""
     train, validation, _ = _flow_vectors(spark, d)
-    best = ml.tree_search(train, "forest", choices=3, folds=3).bestModel
+    best = ml.tree_search(train, "forest", choices=10, folds=3).bestModel
     table = F.array(*[F.lit(c) for c in STATE_CLASSES])
     scored = best.transform(validation).withColumn("y_pred", F.get(table, F.col("prediction").cast("int")))
     return summary_metrics(scored)

@@ -74,19 +74,19 @@ def fit_flow_network(vectors: DataFrame, inputs: int, hidden: Sequence[int] = HI
     return network.fit(vectors)
 
 
-def fit_challenger(vectors: DataFrame, rounds: int = 20, seed: int = SEED):
+def fit_challenger(vectors: DataFrame, rounds: int = 180, seed: int = SEED):
     """Gradient-boosted trees, one against the rest, with balanced class weights in column `weight`."""
     trees = GBTClassifier(maxIter=rounds, maxDepth=5, stepSize=0.08, seed=seed)
     return OneVsRest(classifier=trees, weightCol="weight", parallelism=len(STATE_CLASSES)).fit(vectors)
 
 
-def tree_search(vectors: DataFrame, kind: str = "forest", choices: int = 3, folds: int = 3, seed: int = SEED):
+def tree_search(vectors: DataFrame, kind: str = "forest", choices: int = 10, folds: int = 3, seed: int = SEED):
     """Randomised search over a fixed tree grid with cross-validated accuracy."""
     if kind == "forest":
         model = RandomForestClassifier(seed=seed)
         grid = [
             {model.numTrees: trees, model.impurity: impurity, model.featureSubsetStrategy: subset}
-            for trees in (10, 50, 100, 200)
+            for trees in (10, 50, 100, 200, 300, 400, 500)
             for impurity in ("gini", "entropy")
             for subset in ("all", "sqrt", "log2")
         ]

@@ -101,3 +101,15 @@ def test_labelling_keeps_unscoreable_rows(spark):
 def test_rows_to_explain(spark):
     rows = spark.sql("SELECT id, if(id < 7, 'BENIGN', 'DoS') AS y_pred, if(id = 8, 0.0D, 0.5D) AS p_benign FROM range(10)")
     assert {r["reason"]: r["id"] for r in ml.rows_to_explain(rows, "id").collect()} == {"most attack-like": 8, "middle benign": 3}
+
+
+def test_searches_run_in_full(spark, monkeypatch):
+    fitted = []
+    for kind in (ml.OneVsRest, ml.CrossValidator):
+        monkeypatch.setattr(kind, "fit", lambda self, vectors: fitted.append(self))
+    ml.fit_challenger(None)
+    ml.tree_search(None, "forest")
+    challenger, search = fitted
+    assert challenger.getClassifier().getMaxIter() == 180
+    trees = [v for point in search.getEstimatorParamMaps() for p, v in point.items() if p.name == "numTrees"]
+    assert len(trees) == 10 and max(trees) > 200
