@@ -113,7 +113,8 @@ def signals() -> dict[str, Column]:
 def adaptive_cutoffs(counted: DataFrame, least_texts: int = LEAST_TEXTS, sketch_size: int = SKETCH_SIZE) -> DataFrame:
     """One row per (group_1, group_2): the cutoff of each signal. Texts of fewer than ten words are not counted.
 
-    A null language or source is a group like any other.
+    A null language or source is a group like any other. A group without a text of ten words has no row; where no text
+    has ten words, or there is none, there are no cutoffs and nothing exceeds one.
     """
     values = counted.where("n_words >= 10").select("group_1", "group_2", *[v.alias(k) for k, v in signals().items()])
     size = F.lit(sketch_size)
@@ -123,9 +124,10 @@ def adaptive_cutoffs(counted: DataFrame, least_texts: int = LEAST_TEXTS, sketch_
     by_language = own.groupBy("group_1").agg(
         F.sum("n").alias("n"), *[F.kll_merge_agg_double(s, size).alias(s) for s in SIGNALS]
     )
+    # Over no text at all a merged sketch is empty and has no quantiles.
     of_all = by_language.groupBy().agg(
         F.sum("n").alias("n"), *[F.kll_merge_agg_double(s, size).alias(s) for s in SIGNALS]
-    )
+    ).where("n > 0")
 
     def cutoff(s):
         low, high = (F.kll_sketch_get_quantile_double(F.col(s), F.lit(q)) for q in (0.25, 0.75))
