@@ -78,17 +78,22 @@ def features(data: np.ndarray, borders: np.ndarray):
 
 def train_quality(
     rated: DataFrame, key: str = "doc_id", text: str = "text", rating: str = "rating",
-    texts_per_grade: int = TEXTS_PER_GRADE, rounds: int = 150, seed: int = 3,
+    texts_per_grade: int = TEXTS_PER_GRADE, docs: DataFrame | None = None, rounds: int = 150, seed: int = 3,
 ) -> Ordinal:
     """Fit on about `texts_per_grade` rated texts of each grade (twice that at most), of at most TRAIN_BYTES bytes.
 
+    With `docs`, the table the texts come from, only the chosen texts leave their scan.
+
     Grades are whole numbers; rows without one are left out. Each grade counts as often as all rated rows hold it.
     With fewer than two grades the model knows one grade and gives it to every text.
     """
     rows = rated.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(rating).cast("int").alias("y"))
     rows = rows.where(F.col("y").isNotNull() & (F.octet_length("t") <= TRAIN_BYTES))
     counts = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
-    table = T.hash_sample(rows, "k", "y", texts_per_grade, seed).select("k", "t", "y").toArrow().sort_by("k")
+    texts = None
+    if docs is not None:
+        texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.octet_length("t") <= TRAIN_BYTES)
+    table = T.hash_sample(rows, "k", "y", texts_per_grade, seed, texts).select("k", "t", "y").toArrow().sort_by("k")
     ratings = np.array(table.column("y").to_pylist(), int)
     grades = sorted(set(ratings.tolist()))
     size = (1 << BITS) + 1

@@ -145,10 +145,14 @@ def unit_hash(*columns: str | Column, seed: int = 0) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / F.lit(float(1 << 53))
 
 
-def hash_sample(rows: DataFrame, key: str, group: str, per_group: int, seed: int = 7) -> DataFrame:
+def hash_sample(
+    rows: DataFrame, key: str, group: str, per_group: int, seed: int = 7, texts: DataFrame | None = None
+) -> DataFrame:
     """Each group cut to about `per_group` rows, chosen by a hash of the key. Meant for labelled rows only.
 
-    The number of groups is the number of labels. Twice `per_group` rows a group are the limit.
+    The number of groups is the number of labels. Twice `per_group` keys a group are the limit. With `texts`, a table of keys
+    and further columns, the keys are chosen without those columns and sent to the scan of `texts`, so that no text of
+    another row is exchanged.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
     if not counts:
@@ -156,4 +160,9 @@ def hash_sample(rows: DataFrame, key: str, group: str, per_group: int, seed: int
     share = F.coalesce(
         *[F.when(F.col(group) == F.lit(value), F.lit(min(1.0, per_group / n))) for value, n in counts.items()], F.lit(0.0)
     )
-    return rows.where(unit_hash(key, seed=seed) < share).limit(2 * per_group * len(counts))
+    wanted = rows.where(unit_hash(key, seed=seed) < share)
+    if texts is None:
+        return wanted.limit(2 * per_group * len(counts))
+    keys = wanted.select(key, group).limit(2 * per_group * len(counts)).distinct()
+    chosen = rows.sparkSession.createDataFrame(keys.collect(), keys.schema)
+    return texts.join(F.broadcast(chosen), key)

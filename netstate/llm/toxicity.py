@@ -105,17 +105,22 @@ def features_of(grams: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.
 
 def train_toxicity(
     labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-    texts_per_class: int = TEXTS_PER_CLASS, rounds: int = 200, seed: int = 5,
+    texts_per_class: int = TEXTS_PER_CLASS, docs: DataFrame | None = None, rounds: int = 200, seed: int = 5,
 ) -> Scaled:
     """Fit on about `texts_per_class` labelled texts of each class (twice that at most), of at most TRAIN_BYTES bytes.
 
+    With `docs`, the table the texts come from, only the chosen texts leave their scan.
+
     Rows whose label is not 0 or 1 are left out. The classes count alike in the fit; the intercept is then moved half of the
     way (in log odds) to the share of toxic rows among all labelled rows, so that rare toxic texts are still found. With one class only, or none, every text gets that class's share, or 0.
     """
     rows = labelled.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(label).cast("int").alias("y"))
     rows = rows.where(F.col("y").isin(0, 1) & (F.octet_length("t") <= TRAIN_BYTES))
     counts = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
-    table = T.hash_sample(rows, "k", "y", texts_per_class, seed).select("k", "t", "y").toArrow().sort_by("k")
+    texts = None
+    if docs is not None:
+        texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.octet_length("t") <= TRAIN_BYTES)
+    table = T.hash_sample(rows, "k", "y", texts_per_class, seed, texts).select("k", "t", "y").toArrow().sort_by("k")
     y = np.array(table.column("y").to_pylist(), float)
     if len(counts) < 2 or not 0 < y.sum() < len(y):
         share = counts.get(1, 0) / max(1, sum(counts.values()))
