@@ -16,7 +16,8 @@ from netstate.scale import ensure_checkpoint_dir, stage
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are of grade 1 or more with a probability of a half or more."""
-    model = quality.train_quality(rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    corpus = table(spark, sf_dir, "documents")
+    model = quality.train_quality(rated(corpus, table(spark, sf_dir, "labels")), docs=corpus)
     return quality.select_quality(docs, model, least=1)
 
 
