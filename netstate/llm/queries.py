@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netstate.llm import decontam, langid, licenses, linedup, lmscore, merkle, mixing, quality, rules, simhash, superminhash, toxicity
+from netstate.llm import alignment, decontam, langid, licenses, linedup, lmscore, merkle, mixing, quality, rules, simhash, superminhash, toxicity
 from netstate.llm import statements
 from netstate.llm import text as T
 from netstate.scale import stage
@@ -89,6 +89,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -101,7 +105,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_language_id, op3_license_scan, op4_simhash, op5_quality, op6_line_dedup, op7_quality_rules,
-        op8_toxicity, op9_mixing, op10_lm_score, op12_merkle_manifest, op13_superminhash,
+        op8_toxicity, op9_mixing, op10_lm_score, op11_alignment, op12_merkle_manifest, op13_superminhash,
     )
 }
 #: The other results have no statement in SQL; tests hold them against brute force or held-out labels.
