@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from netstate.constants import FLOW_FEATURES
 
@@ -56,6 +57,23 @@ FROM (SELECT *, w1+w2+w3+w4 AS t FROM (
 WHERE y_true IS NOT NULL
 """
 
+#: A packet trace in microseconds: bursts of an order's lines in one of 61 conversations, with pauses of seconds and minutes,
+#: both directions, all flags, and closing packets.
+TRACE_SQL = """
+SELECT (l_orderkey * 10 + l_linenumber) * 10000000 + h AS packet_no,
+  1767225600000000 + o * 60000 + o % 11 * 300000 + CAST(floor(o / 3000) AS BIGINT) * 200000000 + n * 150000 + h % 4 * 30000 AS us,
+  CASE WHEN from_a THEN a_ip ELSE b_ip END AS src_ip, CASE WHEN from_a THEN b_ip ELSE a_ip END AS dst_ip,
+  CASE WHEN from_a THEN a_port ELSE b_port END AS src_port, CASE WHEN from_a THEN b_port ELSE a_port END AS dst_port,
+  CASE WHEN tcp THEN 'TCP' ELSE 'UDP' END AS protocol, CAST(CASE WHEN h % 6 = 0 THEN 0 ELSE 20 + h % 1400 END AS INT) AS payload_len,
+  CAST(CASE WHEN tcp THEN 20 + h % 4 * 4 ELSE 8 END AS INT) AS header_len, CASE WHEN tcp THEN CAST(h * 37 % 65536 AS INT) END AS tcp_window,
+  tcp AND h % 83 = 0 AS fin, tcp AND n = 1 AND h % 3 = 0 AS syn, tcp AND h % 97 = 0 AS rst, tcp AND h % 4 = 1 AS psh, tcp AND n > 1 AS ack,
+  tcp AND h % 41 = 0 AS urg, tcp AND h % 53 = 0 AS cwr, tcp AND h % 47 = 0 AS ece
+FROM (SELECT *, l_orderkey AS o, l_linenumber AS n, l_partkey AS h, l_orderkey % 61 % 5 <> 4 AS tcp,
+        concat('10.1.0.', CAST(l_orderkey % 61 AS STRING)) AS a_ip, CAST(1024 + l_orderkey % 61 % 8 AS INT) AS a_port,
+        concat('10.2.0.', CAST(l_orderkey % 61 % 5 AS STRING)) AS b_ip, CAST(80 + l_orderkey % 61 % 3 AS INT) AS b_port,
+        CASE WHEN l_orderkey % 7 = 0 THEN FALSE WHEN l_orderkey % 3 = 0 THEN l_linenumber % 2 = 0 ELSE TRUE END AS from_a FROM {lineitem}) x
+"""
+
 
 #: Export headers that the signature rules know, by feature.
 SIGNATURE_HEADERS = {
@@ -110,6 +128,12 @@ def derive_packets(spark: SparkSession, directory: str) -> DataFrame:
     return spark.sql(PACKETS_SQL, lineitem=read_table(spark, directory, "lineitem"))
 
 
+def derive_trace(spark: SparkSession, directory: str) -> DataFrame:
+    """Packets with flags and microseconds, one per order line."""
+    rows = spark.sql(TRACE_SQL, lineitem=read_table(spark, directory, "lineitem"))
+    return rows.withColumn("ts", F.timestamp_micros("us")).drop("us")
+
+
 def derive_scored(spark: SparkSession, directory: str) -> DataFrame:
     """Truth, prediction and four class probabilities per scored flow."""
     return spark.sql(SCORED_SQL, flows=derive_flows(spark, directory))
