@@ -68,14 +68,48 @@ def test_leakage_is_found(spark):
     assert audits.label_leakage() == []
 
 
+def failed(audit):
+    return {r["check"] for r in audit.where("status = 'FAIL'").collect()} - {"overall"}
+
+
 def test_training_audit(spark):
     parts = splits.final_split(windows(spark, range(80)))
-    train = parts.where("split = 'train'")
+    train = splits.fit_min_max(parts.where("split = 'train'"))
     sequences = seq.sequences_gap_aware(parts, within=["split"])
-    good = audits.training_audit(sequences, splits.fit_min_max(train), train)
-    assert good.where("status = 'FAIL'").isEmpty() and good.count() == 10
-    wrong = audits.training_audit(sequences, splits.fit_min_max(parts), train)
-    assert {r["check"] for r in wrong.where("status = 'FAIL'").collect()} == {"scaler_train_only", "overall"}
+    good = audits.training_audit(sequences, train, parts)
+    assert good.where("status = 'FAIL'").isEmpty() and good.count() == 10 and good.where("basis = 'counted'").count() == 10
+    assert failed(audits.training_audit(sequences, splits.fit_min_max(parts), parts)) == {"scaler_train_only"}
+
+
+def test_training_audit_finds_each_planted_leak(spark):
+    """One change per check; some changes are two leaks at once."""
+    parts = splits.final_split(windows(spark, range(80))).cache()
+    train = splits.fit_min_max(parts.where("split = 'train'"))
+    sequences = seq.sequences_gap_aware(parts, within=["split"]).cache()
+
+    def found(changed=None, own=None):
+        return failed(audits.training_audit(sequences if changed is None else changed, train, parts if own is None else own))
+
+    one = sequences.where("split = 'train'").orderBy("target_window_id").limit(1)
+    foreign = sequences.withColumn("session_id", F.when(F.col("target_window_id") == 30, "other").otherwise(F.col("session_id")))
+    assert found(foreign) == {"session_boundary_leakage", "synthetic_session_continuity"}
+    copy = one.withColumn("input_labels", F.array(*[F.lit("DDoS")] * 5))
+    assert "train_validation_overlap" in found(sequences.unionByName(copy.withColumn("split", F.lit("validation"))))
+    assert "train_test_overlap" in found(sequences.unionByName(copy.withColumn("split", F.lit("test"))))
+    shifted = sequences.withColumn("target_window_id", F.col("target_window_id") + (F.col("target_window_id") == 20).cast("int"))
+    assert found(shifted) == {"next_window_alignment"}
+    ahead = sequences.withColumn(
+        "input_window_ids", F.when(F.col("target_window_id") == 20, F.transform("input_window_ids", lambda w: w + 1)).otherwise(F.col("input_window_ids"))
+    )
+    assert found(ahead) == {"next_window_alignment", "future_feature_leakage"}
+    again = one.withColumn("split", F.lit("test")).withColumn("target_window_id", F.lit(1000).cast("long"))
+    assert "duplicate_sequence_leakage" in found(sequences.unionByName(again))
+    unknown = sequences.withColumn("y_dominant_state", F.when(F.col("target_window_id") == 20, "INVALID_FEATURES").otherwise(F.col("y_dominant_state")))
+    assert found(unknown) == {"invalid_features_exclusion"}
+    late = F.when(F.col("window_id") >= 25, F.expr("interval 1 hour")).otherwise(F.expr("interval 0 hour"))
+    paused = parts.withColumns({c: F.col(c) + late for c in ("window_start", "window_end")})
+    assert found(own=paused) == {"synthetic_session_continuity"}
+    assert found(own=parts.where("window_id <> 25")) >= {"session_boundary_leakage", "synthetic_session_continuity"}
 
 
 def test_profile_counts_invalid_constant_and_duplicate(spark):
