@@ -488,6 +488,6 @@ def running_packets(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def chosen_weighting(spark: SparkSession, d: str) -> DataFrame:
-    """Whether class weights help the forecaster over the rolling folds of four-hour windows."""
-    chosen = select_weighting(stage(window_states(derive_flows(spark, d), 4 * HOUR)))
+    """Whether class weights help the forecaster over the rolling folds of hourly windows."""
+    chosen = select_weighting(stage(window_states(derive_flows(spark, d), HOUR)))
     return spark.createDataFrame([(chosen,)], "selected_training string")

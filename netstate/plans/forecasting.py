@@ -44,8 +44,10 @@ def walk_forward(
 
 
 def select_weighting(states: DataFrame, features: Sequence[str] = STATE_FEATURES, iterations: int = 100) -> str:
-    """Training variant with the best mean fold macro F1; ties prefer the unweighted one."""
+    """Training variant with the best mean fold macro F1; ties, and windows without a rolling fold, prefer the unweighted one."""
     scores = {}
+    if splits.rolling_folds(states, ROLLING_FOLDS, SEQUENCE_LENGTH).isEmpty():
+        return "unweighted"
     for name, capped in (("unweighted", False), ("capped_class_weighted", True)):
         folds = summary_metrics(walk_forward(states, features, iterations=iterations, capped=capped), ["fold"])
         scores[name] = [row["macro_f1"] for row in folds.select("macro_f1").collect()]
