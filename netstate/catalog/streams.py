@@ -21,6 +21,7 @@ from netstate.operators.states import window_states
 from netstate.scale import ensure_checkpoint_dir
 from netstate.sources.tables import FLOWS_SQL, PACKETS_SQL, derive_flows, read_table
 from netstate.streaming import flows as stream
+from netstate.streaming import late
 
 QUERIES = {}
 ORACLE = {}
@@ -179,3 +180,35 @@ def stream_flow_files(spark: SparkSession, d: str) -> DataFrame:
     flows.repartitionByRange(4, "flow_seq").write.option("header", True).csv(f"{folder}/in")
     live = stream.flow_file_stream(spark, f"{folder}/in", StructType.fromDDL("flow_seq long, label string"), "csv", 2)
     return _run(live).groupBy(F.trim("label").alias("label")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    with_ctes(FLOWS, CLOSED.format(delay=60), "_h AS (SELECT *, epoch_us(timestamp) // 3600000000 * 3600000000 AS w FROM flows)")
+    + """SELECT strftime(make_timestamp(w // 86400000000 * 86400000000), '%Y-%m-%d %H:%M:%S.%f') AS day, count(DISTINCT src_ip) AS unique_src_ip_count, count(DISTINCT dst_ip) AS unique_dst_ip_count,
+  count(DISTINCT src_port) AS unique_src_port_count, count(DISTINCT dst_port) AS unique_dst_port_count FROM _h, closed WHERE w + 3600000000 <= mark GROUP BY 1"""
+)
+def stream_endpoint_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct endpoints of a day, merged from the sketches of its sessions' hours; exact as long as there are few."""
+    sketches = _run(late.endpoint_sketch_stream(_flow_stream(spark, d), HOUR))
+    return late.merged_endpoints(sketches, [time_text(F.date_trunc("day", "window_start")).alias("day")])
+
+
+_FIRST = "flow_seq % 10 <> 0"
+_BEHIND = "epoch_us(timestamp) <= (SELECT max(epoch_us(timestamp)) FROM flows WHERE flow_seq % 10 <> 0) - 432000000000"
+
+
+@query(
+    with_ctes(FLOWS)
+    + f"""SELECT 'accepted' AS kind, count(*) FILTER (WHERE {_FIRST}) + count(*) FILTER (WHERE NOT ({_FIRST}) AND NOT ({_BEHIND})) AS rows FROM flows
+  UNION ALL SELECT 'late', count(*) FILTER (WHERE NOT ({_FIRST}) AND {_BEHIND}) + count(*) FILTER (WHERE flow_seq % 7 = 0 AND {_BEHIND}) FROM flows
+  UNION ALL SELECT 'duplicate', count(*) FILTER (WHERE flow_seq % 7 = 0 AND NOT ({_BEHIND})) FROM flows"""
+)
+def stream_late_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Nine tenths of the flows, then the rest and a repeat of every seventh; what lies five days behind is late."""
+    folder = _folder(spark)
+    flows = derive_flows(spark, d)
+    for part in (flows.where(_FIRST), flows.where(f"NOT ({_FIRST})").unionByName(flows.where("flow_seq % 7 = 0"))):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    live = spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    late.sort_out(live, ["flow_seq"], f"{folder}/sorted", f"{folder}/checkpoint", delay_seconds=5 * 86_400).awaitTermination()
+    return late.sorted_counts(spark, f"{folder}/sorted")
