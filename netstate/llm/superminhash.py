@@ -6,8 +6,9 @@ no slot can be lowered by the next rank, after few ranks for all but the shortes
 documents that agree in a band share a bucket. Buckets only propose pairs: every link is confirmed on the full sets.
 
 A bucket's pairs are not listed. First each member is compared with the busiest member of its buckets, which ties a group of
-copies together with one comparison each; buckets that still hold several components are compared with further single
-members; only pairs across components that are left then are compared one by one. So no link between components is missed.
+copies together with one comparison each; members of buckets that still hold several components are compared with further
+single members. Where components are left, the signatures of a bucket's members are compared across them in vectorised
+steps, and the pairs that agree in enough slots are confirmed in the bucket. So no link between components is missed.
 """
 
 from __future__ import annotations
@@ -31,8 +32,14 @@ BANDS = 24
 ROWS = 5
 #: Elements whose permutations are held at a time.
 PIECE = 1 << 17
-#: Rounds that compare a bucket's members with single ones, before pairs across components are listed.
-STAR_ROUNDS = 3
+#: Rounds that compare each member with a single one of its buckets, before signatures are compared across components.
+STAR_ROUNDS = 2
+#: Slots that a pair must agree in to be confirmed on the full sets: 5.5 deviations below what a similarity of 0.85 gives.
+LEAST_SLOTS = 85
+#: Members of a bucket that are compared at a time; larger buckets are dealt into parts whose pairs are tasks.
+PART = 1024
+#: Sets of each side that a confirming task holds on average.
+CELL_SETS = 2000
 #: Pairs or classes up to this number are sent to every task.
 SMALL = 50_000
 _FRACTION = np.uint64((1 << 24) - 1)
@@ -117,7 +124,7 @@ def _sums(found: np.ndarray, owners: np.ndarray, texts: int) -> tuple[np.ndarray
 
 
 def sign_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """key, n (size of the shingle set), s1 and s2 (sums that stand for the set) and bands (buckets; null for an empty set)."""
+    """key, n (size of the shingle set), s1 and s2 (sums that stand for the set), bands (its buckets) and slots (a byte for each slot)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,16 +133,19 @@ def sign_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", bands:
             for _, data, borders in T.runs(batch.column("_text")):
                 texts = len(borders) - 1
                 found, owners = shingle_sets(data, borders, words)
-                parts.append((*_sums(found, owners, texts), band_hashes(signatures(found, owners, texts, bands * rows), bands, rows)))
-            size, s1, s2, buckets = (np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4
+                values = signatures(found, owners, texts, bands * rows)
+                short = (T.mix(values.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+                parts.append((*_sums(found, owners, texts), band_hashes(values, bands, rows), short))
+            size, s1, s2, buckets, short = (np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 5
             offsets = np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32)
             kept = buckets[size > 0].reshape(-1) if n else buckets
             listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(kept, pa.int64()))
+            slots = pa.array([row.tobytes() if filled else None for row, filled in zip(short, size)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, pa.int64()) for c in (size, s1, s2)], listed], [key, "n", "s1", "s2", "bands"]
+                [batch.column(0), *[pa.array(c, pa.int64()) for c in (size, s1, s2)], listed, slots], [key, "n", "s1", "s2", "bands", "slots"]
             )
 
-    return docs.select(key, F.col(text).alias("_text")).mapInArrow(sign, f"`{key}` {kind}, n long, s1 long, s2 long, bands array<long>")
+    return docs.select(key, F.col(text).alias("_text")).mapInArrow(sign, f"`{key}` {kind}, n long, s1 long, s2 long, bands array<long>, slots binary")
 
 
 def full_sets(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
@@ -165,23 +175,114 @@ def similar_size(a: str, b: str, percent: int = PERCENT) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Only sets that occur in a pair are exchanged."""
-    pairs = stage(pairs)
-    few = (lambda frame: F.broadcast(frame)) if pairs.count() <= SMALL else (lambda frame: frame)
-    left = sets.join(few(pairs), F.col("c") == F.col("a")).select("a", "b", F.col("elements").alias("left"))
-    right = sets.join(few(pairs.select("b").distinct()), F.col("c") == F.col("b"), "left_semi").select(
-        F.col("c").alias("b"), F.col("elements").alias("right")
-    )
-    common = F.size(F.array_intersect("left", "right"))
-    union = F.size("left") + F.size("right") - common
-    return left.join(right, "b").where(common * 100 >= union * percent).select("a", "b")
+def _common(one: np.ndarray, other: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays of distinct values."""
+    short, long = sorted((one, other), key=len)
+    at = np.minimum(np.searchsorted(long, short), len(long) - 1)
+    return int((long[at] == short).sum())
 
 
-def with_component(members: DataFrame, links: DataFrame | None) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough.
+
+    Pairs are dealt into cells by hashes of both sides; a set goes once to each cell that needs it, however many pairs it is in.
+    """
+    pairs = stage(pairs)
+    sides = max(8, -(-sets.count() // CELL_SETS))
+    near, far = (F.pmod(F.xxhash64(c), F.lit(sides)).cast("int").alias(name) for c, name in (("a", "near"), ("b", "far")))
+    celled = pairs.select("a", "b", near, far)
+    needed = celled.select(F.col("a").alias("c"), "near", "far").union(celled.select(F.col("b").alias("c"), "near", "far")).distinct()
+    needed = stage(needed)
+    sent = sets.join(F.broadcast(needed) if needed.count() <= SMALL else needed, "c").select("c", "near", "far", "elements")
+
+    def confirm(left: pa.Table, right: pa.Table) -> pa.Table:
+        elements = right.column("elements").combine_chunks()
+        values, borders = elements.values.to_numpy(), elements.offsets.to_numpy()
+        own = {c: np.sort(values[borders[i] : borders[i + 1]]) for i, c in enumerate(right.column("c").to_pylist())}
+        keep = []
+        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
+            common = _common(own[a], own[b])
+            keep.append(100 * common >= percent * (len(own[a]) + len(own[b]) - common))
+        return left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return celled.groupBy("near", "far").cogroup(sent.groupBy("near", "far")).applyInArrow(confirm, "a long, b long")
+
+
+def _candidates(table: pa.Table, percent: int, least: int):
+    """(x, ys) of the rows of a bucket's part or pair of parts that sizes and signatures allow to be linked.
+
+    A pair that shares several buckets comes up in its first common band alone.
+    """
+    c, n, label, part = (table.column(x).to_numpy() for x in ("c", "n", "label", "part"))
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(c), -1)
+    slots = np.frombuffer(b"".join(table.column("slots").to_pylist()), np.uint8).reshape(len(c), -1)
+    bucket, i, j = (table.column(x)[0].as_py() for x in ("bucket", "i", "j"))
+    for x in range(len(c)):
+        # Within one part each pair once; between two parts only pairs of both.
+        y = np.arange(x + 1, len(c)) if i == j else np.flatnonzero(part != part[x]) if part[x] == i else np.zeros(0, np.int64)
+        y = y[(label[y] != label[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
+        y = y[(slots[y] == slots[x]).sum(1) >= least]
+        if len(y):
+            y = y[bands[x][(bands[y] == bands[x]).argmax(1)] == bucket]
+        if len(y):
+            yield x, y
+
+
+def across_components(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int = PERCENT, least: int = LEAST_SLOTS) -> DataFrame:
+    """Links (a, b) that connect all similar members of a bucket which are in different components.
+
+    members have bucket, c, n and label. First signatures name the members of a bucket that have someone to be compared with;
+    then only these bring their sets there, and a bucket returns a link for every two components it joins, not every pair.
+    Buckets of more than 2 * PART members are dealt into parts, whose pairs are tasks.
+    """
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 2 * PART)
+    dealt = members.join(sizes, "bucket", "left").withColumn("parts", F.coalesce(F.ceil(F.col("size") / F.lit(PART)), F.lit(1)).cast("int"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = ["bucket", "i", "j"]
+    dealt = stage(dealt.join(classes.select("c", "bands", "slots"), "c").select(
+        "bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "c", "n", "label", "bands", "slots", "part"
+    ))
+
+    def named(table: pa.Table) -> pa.Table:
+        wanted = np.zeros(table.num_rows, bool)
+        for x, ys in _candidates(table, percent, least):
+            wanted[x] = True
+            wanted[ys] = True
+        return table.select([*cell, "c"]).filter(pa.array(wanted))
+
+    def confirm(table: pa.Table) -> pa.Table:
+        c, labels = table.column("c").to_pylist(), table.column("label").to_pylist()
+        elements = table.column("elements").combine_chunks()
+        values, borders = elements.values.to_numpy(), elements.offsets.to_numpy()
+        own = [np.sort(values[borders[k] : borders[k + 1]]) for k in range(len(c))]
+        parent: dict[int, int] = {}
+        links = []
+
+        def top(label: int) -> int:
+            while parent.get(label, label) != label:
+                label = parent[label]
+            return label
+
+        for x, ys in _candidates(table, percent, least):
+            for y in ys.tolist():
+                one, other = top(labels[x]), top(labels[y])
+                if one == other:
+                    continue
+                common = _common(own[x], own[y])
+                if 100 * common >= percent * (len(own[x]) + len(own[y]) - common):
+                    parent[max(one, other)] = min(one, other)
+                    links.append((c[x], c[y]))
+        both = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+
+    wanted = dealt.groupBy(*cell).applyInArrow(named, "bucket long, i int, j int, c long")
+    brought = dealt.join(stage(wanted), [*cell, "c"]).join(sets, "c")
+    return brought.groupBy(*cell).applyInArrow(confirm, "a long, b long")
+
+
+def with_component(members: DataFrame, links: DataFrame) -> DataFrame:
     """members with label: the root of their component, or themselves."""
-    if links is None:
-        return members.withColumn("label", F.col("c"))
     roots = connected_components(links)
     return members.join(roots, members["c"] == roots["node"], "left").select(*members.columns, F.coalesce("root", "c").alias("label"))
 
@@ -192,31 +293,24 @@ def unsettled(members: DataFrame) -> DataFrame:
     return members.join(buckets.select("bucket"), "bucket", "left_semi")
 
 
-def similar_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def similar_links(
+    members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS, least: int = LEAST_SLOTS
+) -> DataFrame:
     """Links (a, b) that connect all similar pairs of classes which share a bucket; members are (bucket, c, n, degree)."""
-    # Each class with the busiest member of all its buckets; ties go to the least class.
-    order = lambda *by: F.max(F.struct(*by, (-F.col("c")).alias("minus"), "c", "n"))
-    hubs = members.groupBy("bucket").agg(order("degree").alias("hub"))
-    best = members.join(hubs, "bucket").groupBy("c", "n").agg(F.max("hub").alias("hub"))
-    pairs = best.where((F.col("hub.c") != F.col("c")) & similar_size("n", "hub.n", percent))
-    links = stage(confirmed(pairs.select(F.col("c").alias("a"), F.col("hub.c").alias("b")), sets, percent))
+    open_, links = members.withColumn("label", F.col("c")), None
     for number in range(star_rounds):
+        # Each class with one member of its buckets: first the busiest, ties go to the least class; then any.
+        by = F.col("degree") if number == 0 else F.xxhash64(F.lit(number), "c")
+        hub = F.struct(by.alias("by"), (-F.col("c")).alias("minus"), "c", "n", "label")
+        hubs = open_.groupBy("bucket").agg(F.max(hub).alias("hub"))
+        other = open_.join(hubs, "bucket").where((F.col("hub.label") != F.col("label")) & similar_size("n", "hub.n", percent))
+        best = other.groupBy("c").agg(F.max("hub").alias("hub"))
+        found = confirmed(best.select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b")).distinct(), sets, percent)
+        links = stage(found if links is None else links.union(found))
         open_ = stage(unsettled(with_component(members, links)))
         if open_.isEmpty():
             return links
-        # First the busiest member of each bucket, then any.
-        by = [F.col("degree")] if number == 0 else [F.xxhash64(F.lit(number), "c").alias("draw")]
-        hubs = open_.groupBy("bucket").agg(F.max(F.struct(*by, F.col("c").alias("b"), F.col("n").alias("m"), F.col("label").alias("l"))).alias("hub"))
-        pairs = open_.join(hubs, "bucket").where((F.col("hub.l") != F.col("label")) & similar_size("n", "hub.m", percent))
-        pairs = pairs.select(F.greatest("c", "hub.b").alias("b"), F.least("c", "hub.b").alias("a")).distinct()
-        links = stage(links.union(confirmed(pairs.select("a", "b"), sets, percent)))
-    open_ = stage(unsettled(with_component(members, links)))
-    if open_.isEmpty():
-        return links
-    x, y = open_.alias("x"), open_.alias("y")
-    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label"))).where(similar_size("x.n", "y.n", percent))
-    pairs = across.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
-    return stage(links.union(confirmed(pairs, sets, percent)))
+    return stage(links.union(across_components(open_, classes, sets, percent, least)))
 
 
 def near_duplicates(
@@ -234,7 +328,7 @@ def near_duplicates(
     signed = stage(sign_texts(docs, key, text, bands, rows, words)).withColumn("row", F.monotonically_increasing_id())
     of_set = ["n", "s1", "s2"]
     classes = stage(
-        signed.where("n > 0").groupBy(*of_set).agg(F.min("row").alias("c"), F.min(key).alias("least"), F.first("bands").alias("bands"))
+        signed.where("n > 0").groupBy(*of_set).agg(F.min("row").alias("c"), F.min(key).alias("least"), F.first("bands").alias("bands"), F.first("slots").alias("slots"))
     )
     filed = classes.select("c", "n", F.explode("bands").alias("bucket"))
     shared = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -245,11 +339,12 @@ def near_duplicates(
     if proposed.count() <= SMALL:
         proposed = F.broadcast(proposed)
     sets = full_sets(docs, text, words).join(proposed, of_set).groupBy("c").agg(F.first("elements").alias("elements"))
-    links = similar_links(members, stage(sets), percent)
+    least = LEAST_SLOTS if (bands * rows, percent) == (BANDS * ROWS, PERCENT) else 0
+    links = similar_links(members, classes, stage(sets), percent, least=least)
     roots = connected_components(links)
     joined = classes.join(roots, classes["c"] == roots["node"], "left").select(*of_set, "least", F.coalesce("root", "c").alias("root"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = joined.join(least, "root").select(*of_set, "component_id")
+    lowest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = joined.join(lowest, "root").select(*of_set, "component_id")
     own = signed.select(key, *of_set)
     linked = join_small(own.where("n > 0"), found, of_set, "inner")
     alone = own.where("n = 0").withColumn("component_id", F.col(key))

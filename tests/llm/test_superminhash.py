@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from netstate.llm import queries, superminhash
 from tests.llm.samples import odd, prose, rows
@@ -87,11 +88,14 @@ def test_groups_of_copies_near_the_threshold(spark):
     assert same(superminhash.near_duplicates(docs).collect(), docs.collect())
 
 
-def test_pairs_across_components_are_compared_one_by_one(spark):
-    texts = [edited(prose(5, 200), k % 6, k) for k in range(60)]
+@pytest.mark.parametrize("part", [1024, 7])
+def test_components_left_are_compared_in_their_buckets(spark, monkeypatch, part):
+    """Copies of a base that is not there: most pairs lie just below the threshold, some above it."""
+    monkeypatch.setattr(superminhash, "PART", part)
+    texts = [edited(prose(5, 200), 1 + k % 6, k) for k in range(60)]
     docs = rows(spark, texts)
-    signed = superminhash.near_duplicates(docs)
-    assert same(signed.collect(), docs.collect())
+    got = superminhash.near_duplicates(docs).collect()
+    assert same(got, docs.collect()) and 5 < len({r.component_id for r in got}) < 60
 
 
 def test_odd_rows_and_empty_tables(spark):
