@@ -17,9 +17,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netstate.llm import superminhash as sets_of
 from netstate.llm import text as T
 from netstate.llm.components import connected_components
-from netstate.scale import stage
+from netstate.scale import join_small, stage
 
 RADIUS = 3
 BLOCKS = 5
@@ -244,3 +245,145 @@ def join_classes(rows: DataFrame, classes: DataFrame, columns: list[str]) -> Dat
 def hexadecimal(column: str | Column) -> Column:
     """16 lower-case digits of a fingerprint."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
+
+
+#: Similar documents: words of a shingle, least similarity in per cent, bits of a fingerprint.
+SIMILAR_WORDS, SIMILAR_PERCENT, WIDE = 5, 80, 128
+#: Bits that differ between fingerprints of similar texts at most: 2.6 deviations above what a similarity of 0.8 gives.
+WIDE_RADIUS = 30
+#: Share of bits in which a similarity of 0.8 agrees; wanted recall of the files; fingerprints a file should hold.
+AGREE, RECALL, FILE_SIZE = 0.8485, 0.98, 512
+
+
+def wide_prints(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = (), words: int = SIMILAR_WORDS) -> DataFrame:
+    """key, keep, n, s1 and s2 (which stand for the set of distinct shingles), p and q (its 128-bit fingerprint; 0 for an empty set)."""
+    names = [key, *keep]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+
+    def compute(batches):
+        for batch in batches:
+            out = np.zeros((5, batch.num_rows), np.int64)
+            for first, data, borders in T.runs(batch.column("_text")):
+                texts = len(borders) - 1
+                found, owners = sets_of.shingle_sets(data, borders, words)
+                size, s1, s2 = sets_of._sums(found, owners, texts)
+                at = first + np.arange(texts)
+                out[0, at], out[1, at], out[2, at] = size, s1, s2
+                filled = np.flatnonzero(size)
+                if len(filled):
+                    starts = (np.cumsum(size) - size)[filled]
+                    for row, salt in ((3, 0x2545F4914F6CDD1D), (4, 0x9FB21C651E98DF25)):
+                        bits = np.unpackbits(T.mix(found ^ np.uint64(salt)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+                        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+                        out[row, first + filled] = np.packbits(2 * ones > size[filled][:, None], axis=1).reshape(-1).view(">u8").astype(np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *map(pa.array, out)], [*names, "n", "s1", "s2", "p", "q"])
+
+    return docs.select(*names, F.col(text).alias("_text")).mapInArrow(compute, f"{kinds}, n long, s1 long, s2 long, p long, q long")
+
+
+def within_radius(planes: np.ndarray, rows: int, queries: np.ndarray, radius: int) -> np.ndarray:
+    """(queries, rows): whether fingerprints differ in at most `radius` bits; queries are (n, words of 64 bits).
+
+    Carry-save counters start so that they run over at radius + 1; a block is left as soon as all of its counters have.
+    """
+    shape, levels = (len(queries), planes.shape[1]), max(1, radius.bit_length())
+    counters = [np.full(shape, ALL if ((1 << levels) - 1 - radius) >> k & 1 else 0, np.uint64) for k in range(levels)]
+    over = np.zeros(shape, np.uint64)
+    if rows % 64:
+        over[:, -1] = ALL << np.uint64(rows % 64)
+    for p in range(len(planes)):
+        bit = (queries[:, p // 64] >> np.uint64(p % 64)) & np.uint64(1)
+        carry = planes[p] ^ np.where(bit, ALL, np.uint64(0))[:, None]
+        for k in range(levels):
+            counters[k], carry = counters[k] ^ carry, counters[k] & carry
+        over |= carry
+        if p % 8 == 7 and (over == ALL).all():
+            break
+    return np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")[:, :rows].astype(bool)
+
+
+def _near(table: pa.Table, percent: int, radius: int):
+    """(x, ys) of the rows of a file's part or pair of parts whose sizes and fingerprints are near."""
+    n, part, p, q = (table.column(c).to_numpy() for c in ("n", "part", "p", "q"))
+    i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
+    prints = np.stack([p, q], 1).view(np.uint64)
+    planes = np.concatenate([planes_of(prints[:, 0].copy()), planes_of(prints[:, 1].copy())])
+    for begin in range(0, len(n), 256):
+        near = within_radius(planes, len(n), prints[begin : begin + 256], radius)
+        for x in np.flatnonzero(near.sum(1) > 1):
+            y = np.flatnonzero(near[x])
+            x = begin + int(x)
+            y = y[(y != x) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
+            y = y if i == j else y[part[y] != part[x]]
+            if len(y):
+                yield x, y
+
+
+def files_for(prints: int, agree: float = AGREE, recall: float = RECALL, size: int = FILE_SIZE) -> list[np.ndarray]:
+    """The places of the sampled bits of every repetition: so many bits that a file holds about `size` fingerprints, and so
+    many repetitions that similar ones meet in a file with a chance of `recall`."""
+    bits = max(4, int(np.ceil(np.log2(max(1, prints / size)))))
+    repeats = int(np.ceil(np.log(1 - recall) / np.log(1 - agree**bits)))
+    rng = np.random.default_rng(17)
+    return [np.sort(rng.permutation(WIDE)[:bits]) for _ in range(repeats)]
+
+
+def similar_documents(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), percent: int = SIMILAR_PERCENT,
+    words: int = SIMILAR_WORDS, radius: int = WIDE_RADIUS,
+) -> DataFrame:
+    """key, `keep` and root (a long) of every row; rows with equal root are connected by texts of similarity `percent` or more.
+
+    Fingerprints of distinct shingle sets are filed by sampled bits; in each file, bit-sliced comparison proposes for every
+    fingerprint the one with most neighbours among those within `radius`. These pairs are confirmed on the full sets. Then the
+    files compare what is near but not yet connected, and confirm it there. Texts without words are one group. Repeated
+    rows and null keys are rows like any other; an empty table gives no rows.
+    """
+    # Columns of docs take names of their own, so that they can be called anything.
+    given = [key, *keep]
+    own = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(given)], F.col(f"`{text}`").alias("_t"))
+    names = [f"_{i}" for i in range(len(given))]
+    rows = stage(wide_prints(own, "_0", "_t", tuple(names[1:]), words)).withColumn("row", F.monotonically_increasing_id())
+    of_set = ["n", "s1", "s2"]
+    classes = stage(rows.groupBy(*of_set).agg(F.min("row").alias("c"), F.first("p").alias("p"), F.first("q").alias("q")))
+    filled = classes.where("n > 0")
+    masks = []
+    for places in files_for(filled.count()):
+        low, high = (int(sum(1 << int(b) % 64 for b in places if b // 64 == half)) for half in (0, 1))
+        masks.append([m - (1 << 64) if m >> 63 else m for m in (low, high)])
+    files = [F.xxhash64(F.lit(t), F.col("p").bitwiseAND(F.lit(a)), F.col("q").bitwiseAND(F.lit(b))) for t, (a, b) in enumerate(masks)]
+    filed = filled.select("c", "n", "p", "q", F.explode(F.array(*files)).alias("bucket"))
+
+    def busiest(table: pa.Table) -> pa.Table:
+        c = table.column("c").to_numpy()
+        near = dict(_near(table, percent, radius))
+        degree = np.zeros(len(c), np.int64)
+        for x, ys in near.items():
+            degree[x] = len(ys)
+        best = {x: ys[np.lexsort((c[ys], -degree[ys]))[0]] for x, ys in near.items()}
+        at, to = np.array(list(best), np.int64), np.array(list(best.values()), np.int64)
+        return pa.table({"c": pa.array(c[at]), "hub": pa.array(c[to]), "degree": pa.array(degree[to])})
+
+    shape = "c long, hub long, degree long"
+    proposed = stage(sets_of.in_parts(filed).groupBy(*sets_of.CELL).applyInArrow(busiest, shape))
+    best = proposed.groupBy("c").agg(F.max_by("hub", F.struct("degree", (-F.col("hub")).alias("least"))).alias("hub"))
+    met = stage(proposed.select("c").union(proposed.select(F.col("hub").alias("c"))).distinct())
+    wanted = stage(filled.join(met, "c", "left_semi").select(*of_set, "c", "p", "q"))
+    few = F.broadcast(wanted.select(*of_set, "c")) if wanted.count() <= sets_of.SMALL else wanted.select(*of_set, "c")
+    sets = stage(sets_of.full_sets(docs, text, words).join(few, of_set).groupBy("c").agg(F.first("elements").alias("elements")))
+    links = stage(sets_of.confirmed(best.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct(), sets, percent))
+    again = wanted.select("c", "n", "p", "q", F.explode(F.array(*files)).alias("bucket"))
+    open_ = sets_of.in_parts(sets_of.unsettled(stage(sets_of.with_component(again, links))))
+
+    def apart(table: pa.Table):
+        label = table.column("label").to_numpy()
+        for x, ys in _near(table, percent, radius):
+            ys = ys[(label[ys] != label[x]) & (ys > x)]
+            if len(ys):
+                yield x, ys
+
+    links = links.union(sets_of.across_components(open_, sets, percent, apart))
+    roots = connected_components(links)
+    found = classes.join(roots, classes["c"] == roots["node"], "left").select(*of_set, F.coalesce("root", "c").alias("root"))
+    joined = join_small(rows.select(*names, *of_set), found, of_set, "inner")
+    return joined.select(*[F.col(n).alias(c) for n, c in zip(names, given)], "root")

@@ -228,25 +228,31 @@ def _candidates(table: pa.Table, percent: int, least: int):
             yield x, y
 
 
-def across_components(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int = PERCENT, least: int = LEAST_SLOTS) -> DataFrame:
-    """Links (a, b) that connect all similar members of a bucket which are in different components.
+CELL = ["bucket", "i", "j"]
 
-    members have bucket, c, n and label. First signatures name the members of a bucket that have someone to be compared with;
-    then only these bring their sets there, and a bucket returns a link for every two components it joins, not every pair.
-    Buckets of more than 2 * PART members are dealt into parts, whose pairs are tasks.
-    """
+
+def in_parts(members: DataFrame) -> DataFrame:
+    """members with part, i and j: buckets of more than 2 * PART rows are dealt into parts, whose pairs (i, j) are tasks."""
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 2 * PART)
     dealt = members.join(sizes, "bucket", "left").withColumn("parts", F.coalesce(F.ceil(F.col("size") / F.lit(PART)), F.lit(1)).cast("int"))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cell = ["bucket", "i", "j"]
-    dealt = stage(dealt.join(classes.select("c", "bands", "slots"), "c").select(
-        "bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "c", "n", "label", "bands", "slots", "part"
-    ))
+    return dealt.select(*members.columns, "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+
+
+def across_components(dealt: DataFrame, sets: DataFrame, percent: int, find) -> DataFrame:
+    """Links (a, b) that connect all similar members of a bucket which are in different components.
+
+    dealt holds bucket, i, j, c, label and what `find` reads, which yields (x, ys) of rows that may be linked. First it names
+    the members that have someone to be compared with; then only these bring their sets to the bucket, which returns a link
+    for every two components it joins, not every pair.
+    """
+    cell = CELL
+    dealt = stage(dealt)
 
     def named(table: pa.Table) -> pa.Table:
         wanted = np.zeros(table.num_rows, bool)
-        for x, ys in _candidates(table, percent, least):
+        for x, ys in find(table):
             wanted[x] = True
             wanted[ys] = True
         return table.select([*cell, "c"]).filter(pa.array(wanted))
@@ -264,7 +270,7 @@ def across_components(members: DataFrame, classes: DataFrame, sets: DataFrame, p
                 label = parent[label]
             return label
 
-        for x, ys in _candidates(table, percent, least):
+        for x, ys in find(table):
             for y in ys.tolist():
                 one, other = top(labels[x]), top(labels[y])
                 if one == other:
@@ -310,7 +316,8 @@ def similar_links(
         open_ = stage(unsettled(with_component(members, links)))
         if open_.isEmpty():
             return links
-    return stage(links.union(across_components(open_, classes, sets, percent, least)))
+    dealt = in_parts(open_.select("bucket", "c", "n", "label")).join(classes.select("c", "bands", "slots"), "c")
+    return stage(links.union(across_components(dealt, sets, percent, lambda table: _candidates(table, percent, least))))
 
 
 def near_duplicates(

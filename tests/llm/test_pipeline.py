@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from netstate.llm import decontam, quality, queries, simhash
+from netstate.llm import decontam, quality, queries
 from tests.llm.samples import odd
 from tests.llm.test_corpus import kept_lines
+from tests.llm.test_superminhash import expected as all_pairs
 
 SF = "/root/testdata/sf0.01"
 
@@ -26,8 +27,8 @@ def test_run_equals_its_stages_one_by_one(spark):
     assert {k: r.text for k, r in rows.items()} == {keys[i]: t for i, t in expected.items()} and cut.columns == names
     assert all(r.n_chars == len(r.text) for r in rows.values())
     single = pipeline.near_dedup(spark, cut, SF)
-    groups = simhash.near_duplicates(cut).groupBy("component_id").agg(F.min("doc_id").alias("d")).collect()
-    assert sorted(r.doc_id for r in single.collect()) == sorted(r.d for r in groups) and single.columns == names
+    groups = {root for _, _, root, _ in all_pairs(cut.collect(), 80)}
+    assert {r.doc_id for r in single.collect()} == groups and single.columns == names
     clean = pipeline.decontamination(spark, single, SF)
     leaked = {r.doc_id for r in decontam.find_leaks(single, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in single.collect()} - leaked and clean.columns == names
@@ -53,3 +54,9 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert 10 in kept and 11 not in kept and 0 in kept and 1 not in kept
     unknown = docs.where("doc_id in (4, 7, 9)").withColumn("doc_id", F.lit(None).cast("long"))
     assert pipeline.near_dedup(spark, unknown.union(unknown), SF).count() == 3
+
+
+def test_near_dedup_keeps_columns_of_any_name(spark):
+    docs = odd(spark).withColumn("_th", F.lit("mine")).withColumn("n", F.lit(3)).withColumn("root", F.lit("r")).withColumn("id", F.lit(5))
+    out = pipeline.near_dedup(spark, docs, SF)
+    assert out.columns == docs.columns and {(r["_th"], r["n"], r["root"], r["id"]) for r in out.collect()} == {("mine", 3, "r", 5)}
