@@ -30,15 +30,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least doc_id (null last), then the least hash of its text.
 
-    Of rows equal in both, one stays.
+    Groups are connected by texts of which 80 % of the five-word shingles agree. Of rows equal in both, one stays.
     """
-    own = docs.withColumn("_th", F.xxhash64("text"))
-    found = stage(simhash.near_duplicates(own, keep=("_th",)))
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("first"))
-    chosen = first.select(F.col("first.doc_id").alias("_id"), F.col("first._th").alias("_hash"))
-    kept = own.join(chosen, own["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_hash")), "left_semi")
-    repeated = not found.groupBy("doc_id", "_th").count().where("count > 1").isEmpty()
-    return (kept.dropDuplicates(["doc_id", "_th"]) if repeated else kept).drop("_th")
+    mark = "_th"
+    while mark in docs.columns:
+        mark += "_"
+    own = docs.withColumn(mark, F.xxhash64("text"))
+    found = stage(simhash.similar_documents(own, keep=(mark,)))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(mark).alias("hash"))
+    first = found.groupBy("root").agg(F.min(order).alias("first")).select("first.id", "first.hash").alias("f")
+    kept = own.alias("o").join(first, F.col("o.doc_id").eqNullSafe(F.col("f.id")) & (F.col(f"o.{mark}") == F.col("f.hash")), "left_semi")
+    repeated = not found.groupBy("doc_id", mark).count().where("count > 1").isEmpty()
+    return (kept.dropDuplicates(["doc_id", mark]) if repeated else kept).drop(mark)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
