@@ -16,6 +16,7 @@ import json
 import os
 import struct
 import tempfile
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -56,10 +57,11 @@ def byte_alphabet() -> dict[str, int]:
 
 @dataclass
 class Tokenizer:
-    """ids of texts, and the bytes of every id."""
+    """ids of texts, the bytes of every id, and whether tokens' bytes always are those of the text."""
 
     encode: object
     pieces: list[bytes]
+    lossless: bool = False
     lengths: np.ndarray = field(init=False)
 
     def __post_init__(self):
@@ -87,7 +89,7 @@ def byte_level(path: str) -> Tokenizer:
 
         ranks = {p: i for i, p in enumerate(pieces) if p}
         encoder = tiktoken.Encoding("byte-level", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
-        return Tokenizer(lambda texts: [encoder.encode_ordinary(" " + t) for t in texts], pieces)
+        return Tokenizer(lambda texts: [encoder.encode_ordinary(" " + t) for t in texts], pieces, lossless=True)
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer as FromFile
 
@@ -129,27 +131,29 @@ def align_texts(texts: list[str | None], first: Tokenizer, second: Tokenizer) ->
     places = [i for i, t in enumerate(texts) if t]
     filled = [texts[i] for i in places]
     both = zip(places, filled, first.encode(filled) if filled else [], second.encode(filled) if filled else [])
-    ids: tuple[list, list] = ([], [])
+    none = np.zeros(0, np.int64)
+    ids: tuple[list, list] = ([none], [none])
     docs: list[int] = []
     for place, text, a, b in both:
         whole = b" " + text.encode("utf-8")
-        if b"".join([first.pieces[t] for t in a]) == whole and b"".join([second.pieces[t] for t in b]) == whole:
-            ids[0].append(np.array(a, np.int64))
-            ids[1].append(np.array(b, np.int64))
+        if all(t.lossless or b"".join(map(t.pieces.__getitem__, own)) == whole for t, own in ((first, a), (second, b))):
+            ids[0].append(np.frombuffer(array("q", a), np.int64))
+            ids[1].append(np.frombuffer(array("q", b), np.int64))
             docs.append(place)
-    none = [np.zeros(0, np.int64)]
-    a, b = np.concatenate(ids[0] or none), np.concatenate(ids[1] or none)
+    a, b = np.concatenate(ids[0]), np.concatenate(ids[1])
     number = np.array(docs, np.int64)
-    a_doc = np.repeat(number, [len(x) for x in ids[0]])
-    b_doc = np.repeat(number, [len(x) for x in ids[1]])
-    # Valid texts are cut into the same bytes, so offsets run on over the block.
+    a_doc = np.repeat(number, [len(x) for x in ids[0][1:]])
+    b_doc = np.repeat(number, [len(x) for x in ids[1][1:]])
+    # Valid texts are cut into the same bytes, so offsets run on over the block; a mark stands where a token ends.
     a_end, b_end = np.cumsum(first.lengths[a]), np.cumsum(second.lengths[b])
-    group_end = np.intersect1d(a_end, b_end, assume_unique=True)
-    cell = np.union1d(a_end, b_end)
-    link_a, link_b = np.searchsorted(a_end, cell), np.searchsorted(b_end, cell)
-    a_group, b_group = np.searchsorted(group_end, a_end), np.searchsorted(group_end, b_end)
-    group_doc = a_doc[np.searchsorted(a_end, group_end)]
-    return Aligned(a, b, a_doc, b_doc, a_group, b_group, link_a, link_b, group_doc)
+    marks = np.zeros((2, int(a_end[-1]) + 1 if len(a) else 1), bool)
+    marks[0, a_end], marks[1, b_end] = True, True
+    shared = marks[0] & marks[1]
+    before = lambda at: np.cumsum(at, dtype=np.int32) - at
+    group, a_number, b_number = before(shared), before(marks[0]), before(marks[1])
+    cell = np.flatnonzero(marks[0] | marks[1])
+    group_doc = a_doc[a_number[shared]]
+    return Aligned(a, b, a_doc, b_doc, group[a_end], group[b_end], a_number[cell], b_number[cell], group_doc)
 
 
 @lru_cache(maxsize=8)
