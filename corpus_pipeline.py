@@ -67,7 +67,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is a Parquet table in the shared folder."""
+    """All stages over documents; each result is a Parquet table in the shared folder, which goes when the next one is there."""
     from uuid import uuid4
 
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid4().hex}"
@@ -76,6 +76,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{number}"
         stage_of(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if number:
+            before = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{number - 1}")
+            before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
     return docs
 
 
