@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["windows", "attacks", "scores", "quality", "models", "streams", "files", "neighbours", "assembly", "provenance"]
+AREAS = ["windows", "attacks", "scores", "quality", "models", "streams", "files", "neighbours", "assembly", "provenance", "forecasts"]
 
 
 def _areas():
