@@ -384,7 +384,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
     wanted = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"))
     windows = wanted.mapInArrow(scan, f"id {kind}, start long, n int, key long, window array<long>")
-    near = windows.join(keys, ["key", "n"]).dropDuplicates(["id", "start", "item", "n"]).select("id", "item", "start", "n", "window", "words")
+    near = windows.join(keys, ["key", "n"]).dropDuplicates(["id", "start", "item", "n", "window"]).select("id", "item", "start", "n", "window", "words")
     exact = near.mapInArrow(verify, f"id {kind}, item {item_kind}, start long, n int, distance long")
     best = exact.groupBy("id", "item").agg(F.min(F.struct("distance", "start", "n")).alias("best"))
     return best.select(
@@ -397,4 +397,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
                   item_text: str = "text", edits: float = EDITS) -> DataFrame:
     """The rows of docs, with their columns, whose text holds no item. Rows with a null key stay only if none of them holds one."""
     found = stage(find_leaks(docs, items, key, text, item_key, item_text, edits).select(F.col(key).alias("_leak")).distinct())
-    return docs.join(found, docs[key].eqNullSafe(F.col("_leak")), "left_anti")
+    return docs.alias("d").join(found.alias("f"), F.col(f"d.`{key}`").eqNullSafe(F.col("f._leak")), "left_anti")

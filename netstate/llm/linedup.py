@@ -133,15 +133,20 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
     """docs with later copies of repeated line runs deleted from the text, and n_deleted, the number of deleted lines.
 
     A run counts from `least_words` words. A text that loses all its lines that are not blank is dropped; texts without a
-    repeated run, null and empty ones among them, stay as they are. A column of docs named n_deleted is replaced.
+    repeated run, null and empty ones among them, stay as they are. A column of docs named n_deleted is replaced; others may have any name.
     """
     docs = docs.drop("n_deleted")
     gone = repeated_lines(docs, key, text, least_words).alias("g")
-    own = docs.withColumn("_th", F.xxhash64(text)).alias("d")
-    same = F.col("d._th").eqNullSafe(F.col("g.th")) & F.col(f"d.`{key}`").eqNullSafe(F.col("g.id"))
-    numbered = F.split(F.col(f"d.`{text}`"), "\n", -1)
-    kept = F.filter(numbered, lambda _, i: ~F.array_contains(F.col("g.lines"), i))
-    joined = own.join(gone, same, "left")
+    own = docs.alias("d")
+    same = F.xxhash64(F.col(f"d.`{text}`")).eqNullSafe(F.col("g.th")) & F.col(f"d.`{key}`").eqNullSafe(F.col("g.id"))
+    held = "_lines"
+    while held in docs.columns:
+        held += "_"
+    # Lines are split once, and the numbers that stay come of one hashed pass, so that time grows with the lines.
+    split = F.when(F.col("g.lines").isNotNull(), F.split(F.col(f"d.`{text}`"), "\n", -1))
+    joined = own.join(gone, same, "left").withColumn(held, split)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(held) - 1), F.transform("g.lines", lambda i: i.cast("int")))
+    kept = F.transform(stay, lambda i: F.get(F.col(held), i))
     new = F.when(F.col("g.lines").isNull(), F.col(f"d.`{text}`")).otherwise(F.array_join(kept, "\n"))
     columns = [new.alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns]
     cut = joined.select(*columns, F.coalesce(F.size("g.lines"), F.lit(0)).alias("n_deleted"))

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from netstate.llm import decontam, linedup, lmscore, mixing, queries
 from tests.llm.samples import ODD, odd, prose, rows
@@ -272,3 +273,24 @@ def test_language_model_query_equals_brute_force(spark):
 def test_language_model_on_odd_rows(spark):
     assert lmscore.score_texts(odd(spark)).count() == len(ODD) + 1  # rows without a key count as one text
     assert lmscore.score_texts(odd(spark).limit(0)).count() == 0
+
+
+def test_a_text_of_many_equal_lines_takes_time_in_proportion(spark):
+    """Fifty thousand equal lines, of which the first run stays."""
+    docs = rows(spark, ["tick tock\n" * 50_000 + "end", "other words here"]).withColumn("_th", F.lit("mine"))
+    out = {r.doc_id: r for r in linedup.dedup_lines(docs).collect()}
+    assert out[0].text.count("tick") < 100 and out[0].text.endswith("end") and out[0]["_th"] == "mine" and out[1].n_deleted == 0
+    assert out[0].n_deleted + out[0].text.count("\n") == 50_000
+
+
+def test_texts_without_key_do_not_displace_each_other(spark):
+    """Two rows without key hold windows at the same word; only one is the item."""
+    item = " ".join(prose(8, 30))
+    words = item.split(" ")
+    close = " ".join(words[:22] + [f"z{k}" for k in range(8)])
+    lead = " ".join(prose(9, 12))
+    docs = rows(spark, [f"{lead} {close} more words", f"{lead} {item} more words"]).withColumn("doc_id", F.lit(None).cast("long"))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [r.item_id for r in decontam.find_leaks(docs, items).collect()] == [1]
+    clashing = docs.withColumn("_leak", F.lit("mine"))
+    assert decontam.decontaminate(clashing, items).count() == 0
