@@ -1,7 +1,7 @@
 """Alignment of two tokenizers over whole texts, with corpus-wide counts of linked token pairs by external merging.
 
 Both tokenizers cut the same bytes. Byte offsets where tokens of both end cut a text into groups; two tokens are linked
-where their bytes overlap. Texts are taken in blocks of a few megabytes. A block's pair-document records are sorted by
+where their bytes overlap. Texts are taken in blocks of about a megabyte. A block's pair-document records are sorted by
 (radix of the first tokenizer's id, that id, the other id) and compressed with zstd. Only its distinct pairs, with the
 number of the block's documents that hold each, leave it: one sorted run for each radix. A radix is merged by one task,
 which keeps the runs compressed, on disk beyond SPILL_BYTES, and reads them frame by frame through a heap. In this order all
@@ -40,7 +40,7 @@ BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Fixed value: how byte-level tokenizers of this kind cut a text before merging.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text in a block, pairs in a frame of a run, bytes of runs or results a merging task holds in memory.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 FRAME = 4096
 SPILL_BYTES = 64 << 20
 #: Least and greatest number of radices; in between there is one for each partition of the texts.
