@@ -13,7 +13,7 @@ from netstate.catalog.shaping import HOUR, rounded, time_text
 from netstate.catalog.sql import FLOWS, SCORED, rounded_features, states, with_ctes
 from netstate.catalog.windows import CHRONO, NUMBERED, POSITIONAL
 from netstate.constants import FLOW_FEATURES, STATE_CLASSES, STATE_FEATURES
-from netstate.functions.columns import align_features, drop_repeated_headers, find_id_columns, find_label_column, quoted
+from netstate.functions.columns import align_features, drop_derived, drop_repeated_headers, find_id_columns, find_label_column, quoted
 from netstate.functions.timestamps import parse_timestamps
 from netstate.functions.values import capture_log_counts, safe_file_name
 from netstate.operators import profile, splits
@@ -194,6 +194,31 @@ def csv_labelled_glob(spark: SparkSession, d: str) -> DataFrame:
     return good.agg(F.lit(False).alias("malformed"), *count).unionByName(bad.agg(F.lit(True).alias("malformed"), *count))
 
 
+@query(with_ctes(FLOWS) + "SELECT session_id, count(*) AS rows, FALSE AS derived, count(*) // 100 AS repeated FROM flows GROUP BY 1")
+def csv_repeated_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Exports that repeat their header after every hundred rows of a session, and carry a derived column."""
+    names = ["flow_seq", "session_id", "Protocol", "Current_State"]
+    flows = derive_flows(spark, d).selectExpr("cast(flow_seq as string) AS flow_seq", "session_id", "cast(protocol as string) AS Protocol", "current_state AS Current_State")
+    many = flows.groupBy("session_id").agg(F.floor(F.count(F.lit(1)) / 100).cast("int").alias("n")).where("n > 0")
+    headers = many.select(F.explode(F.sequence(F.lit(1), F.col("n"))), "session_id").select(*[F.lit(c).alias(c) if c != "session_id" else F.col(c) for c in names])
+    target = folder(spark)
+    flows.unionByName(headers).write.option("header", True).csv(target)
+    read = spark.read.option("header", True).csv(target)
+    kept = drop_derived(drop_repeated_headers(read))
+    before = read.groupBy("session_id").agg(F.count(F.lit(1)).alias("before"))
+    after = kept.groupBy("session_id").agg(F.count(F.lit(1)).alias("rows"), F.lit("Current_State" in kept.columns).alias("derived"))
+    return after.join(before, "session_id").select("session_id", "rows", "derived", (F.col("before") - F.col("rows")).alias("repeated"))
+
+
+@query(with_ctes(FLOWS) + "SELECT DISTINCT session_id, CAST(77 AS BIGINT) AS features, CAST(77 AS BIGINT) AS columns FROM flows")
+def probed_headers(spark: SparkSession, d: str) -> DataFrame:
+    """How many features, from how many columns, the header of each exported file names."""
+    target = export_flows(spark, d)
+    found = [(s, f, c) for s in SESSIONS for f, c in ff.probe_features(spark, f"{target}/{s}.csv").items()]
+    named = spark.createDataFrame(found, "session_id string, feature string, name string")
+    return named.groupBy("session_id").agg(F.count_distinct("feature").alias("features"), F.count_distinct("name").alias("columns"))
+
+
 @query(with_ctes(FLOWS) + "SELECT count(*) AS rows, TRUE AS named, TRUE AS hashed FROM flows")
 def file_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     """Lines of the exported files less one header each."""
