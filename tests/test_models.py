@@ -6,7 +6,7 @@ from netstate.constants import STATE_CLASSES
 from netstate.operators import modeling as ml
 from netstate.operators import sequences as seq
 from netstate.operators import splits
-from netstate.plans.forecasting import evaluate_against_persistence, walk_forward
+from netstate.plans.forecasting import evaluate_against_persistence, select_weighting, walk_forward
 from netstate.plans.label_flows import capture_report, label_flows
 
 FEATURES = ["flow_count", "syn_count"]
@@ -113,3 +113,7 @@ def test_searches_run_in_full(spark, monkeypatch):
     assert challenger.getClassifier().getMaxIter() == 180
     trees = [v for point in search.getEstimatorParamMaps() for p, v in point.items() if p.name == "numTrees"]
     assert len(trees) == 10 and max(trees) > 200
+
+
+def test_weighting_without_a_fold_is_the_plain_one(spark):
+    assert select_weighting(windows(spark, range(4))) == "unweighted"
