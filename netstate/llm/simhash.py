@@ -365,7 +365,7 @@ def similar_documents(
         return pa.table({"c": pa.array(c[at]), "hub": pa.array(c[to]), "degree": pa.array(degree[to])})
 
     shape = "c long, hub long, degree long"
-    proposed = stage(sets_of.in_parts(filed).groupBy(*sets_of.CELL).applyInArrow(busiest, shape))
+    proposed = stage(sets_of.in_parts(filed, few_large=False).groupBy(*sets_of.CELL).applyInArrow(busiest, shape))
     best = proposed.groupBy("c").agg(F.max_by("hub", F.struct("degree", (-F.col("hub")).alias("least"))).alias("hub"))
     met = stage(proposed.select("c").union(proposed.select(F.col("hub").alias("c"))).distinct())
     wanted = stage(filled.join(met, "c", "left_semi").select(*of_set, "c", "p", "q"))

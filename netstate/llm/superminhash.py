@@ -231,10 +231,15 @@ def _candidates(table: pa.Table, percent: int, least: int):
 CELL = ["bucket", "i", "j"]
 
 
-def in_parts(members: DataFrame) -> DataFrame:
-    """members with part, i and j: buckets of more than 2 * PART rows are dealt into parts, whose pairs (i, j) are tasks."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 2 * PART)
-    dealt = members.join(sizes, "bucket", "left").withColumn("parts", F.coalesce(F.ceil(F.col("size") / F.lit(PART)), F.lit(1)).cast("int"))
+def in_parts(members: DataFrame, few_large: bool = True) -> DataFrame:
+    """members with part, i and j: buckets of more than 2 * PART rows are dealt into parts, whose pairs (i, j) are tasks.
+
+    Only large buckets' sizes are looked up, or all of them where buckets are few against their rows (`few_large` false).
+    """
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    found = members.join(sizes.where(F.col("size") > 2 * PART), "bucket", "left") if few_large else members.join(sizes, "bucket")
+    large = F.coalesce(F.col("size") > 2 * PART, F.lit(False))
+    dealt = found.withColumn("parts", F.when(large, F.ceil(F.col("size") / F.lit(PART))).otherwise(F.lit(1)).cast("int"))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return dealt.select(*members.columns, "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
