@@ -1,15 +1,17 @@
 """License scans with a positional index of rare words.
 
 Every template (a notice, or a short phrase) is indexed by its rarest words: word -> (template, position). A text looks up
-its licence words; each occurrence of an indexed word proposes a place where the template would start, and the words of
-the template are compared at that place. A notice counts if enough of its words agree and its key phrases are there in full.
-Which words are rare follows from document frequencies over all texts.
+the rarest licence words that it holds, and the postings of a template are intersected by relative position: places where
+at least two positions agree on the start, give or take the edits that the template allows. There its key phrases must
+stand in full, and the words around them may differ by so many edits. Which words are rare follows from document
+frequencies over all texts.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from netstate.llm import text as T
 
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Share of a notice's words that must agree at a place.
+#: Share of a notice's words that must agree at a place; the rest may be replaced or left out, or as many put in.
 AGREEMENT = 0.8
 
 
@@ -110,70 +112,107 @@ def document_frequencies(docs: DataFrame, templates=BASE + NOTICES, text: str =
 
 
 class Index:
-    """Rarest words of each template with their positions, chosen so that no place of the template can be missed.
+    """Postings of each template's rarest words, by document frequencies over all texts.
 
-    If a share a of m words must agree, m - ceil(a m) + 1 positions hold an agreeing one; the rarest are taken. An
-    exact phrase needs one.
+    A notice of m words of which a share a must agree allows k = m - ceil(a m) edits: words put in, left out or replaced.
+    Of its k + 2 rarest positions at least two then stand in the text, each within k words of its place, so no notice is
+    missed. An exact phrase allows no edit, and all its positions are looked up.
     """
 
     def __init__(self, templates, frequencies, vocabulary, agreement: float):
         self.templates = templates
-        self.words = [np.array([vocabulary[w.encode()] for w in t.words]) for t in templates]
-        self.least = [len(t.words) if t.exact else int(np.ceil(agreement * len(t.words))) for t in templates]
-        self.anchors: dict[int, list[tuple[int, int]]] = {}
-        for i, t in enumerate(templates):
-            by_rarity = sorted(range(len(t.words)), key=lambda p, t=t: (frequencies[t.words[p]], p))
-            inside = {p for a, b in t.keys for p in range(a, b)}
-            # Every word of a key phrase must agree, so its rarest one suffices.
-            chosen = [p for p in by_rarity if p in inside][:1] or by_rarity[: len(t.words) - self.least[i] + 1]
-            for p in chosen:
-                self.anchors.setdefault(int(self.words[i][p]), []).append((i, p))
-
-    def places(self, numbers: np.ndarray, owner: np.ndarray):
-        """For each template that occurs: its number, starts, and agreeing shares."""
-        found: dict[int, list[np.ndarray]] = {}
-        known = np.flatnonzero(numbers >= 0)
-        of_known = numbers[known]
-        for word, uses in self.anchors.items():
-            at = known[of_known == word]
-            for i, p in uses if len(at) else ():
-                found.setdefault(i, []).append(at - p)
-        for i, starts in found.items():
-            words = self.words[i]
-            starts = np.unique(np.concatenate(starts))
-            # A notice may miss words at its ends, never those of a key phrase.
-            index = starts[:, None] + np.arange(len(words))
-            inside = (index >= 0) & (index < len(numbers))
-            index = np.clip(index, 0, len(numbers) - 1)
-            home = self._home(starts, i, owner, len(numbers))
-            same = inside & (numbers[index] == words) & (owner[index] == home[:, None])
-            good = same.sum(1) >= self.least[i]
-            for a, b in self.templates[i].keys:
-                good &= same[:, a:b].all(1)
-            if good.any():
-                yield i, starts[good], home[good], same[good].mean(1)
-
-    def _home(self, starts, i, owner, n):
-        """The text of a place: that of the anchor word, which lies inside the place."""
-        keys = self.templates[i].keys
-        at = keys[0][0] if keys else 0
-        return owner[np.clip(starts + at, 0, n - 1)]
+        self.words = [np.array([vocabulary[w.encode()] for w in t.words], np.int32) for t in templates]
+        self.keys = [((0, len(t.words)),) if t.exact or not t.keys else tuple(sorted(t.keys)) for t in templates]
+        self.edits = [0 if t.exact else len(t.words) - int(np.ceil(agreement * len(t.words))) for t in templates]
+        self.postings: list[dict[int, int]] = []
+        for t, words, edits in zip(templates, self.words, self.edits):
+            by_rarity = sorted(range(len(words)), key=lambda p, t=t: (frequencies[t.words[p]], p))
+            self.postings.append({p: int(words[p]) for p in (by_rarity if t.exact else by_rarity[: edits + 2])})
+        self.rare = np.unique([w for of in self.postings for w in of.values()])
+        self.distance = lru_cache(1 << 16)(self._distance)
+
+    def starts(self, i: int, places: dict[int, np.ndarray], n: int) -> np.ndarray:
+        """Places where the template would start, on which postings of enough of its positions agree within its edits."""
+        of, edits = self.postings[i], self.edits[i]
+        wanted = len(of) if self.templates[i].exact else min(2, len(of))
+        found = [(places[w] - p) for p, w in of.items() if len(places[w])]
+        if len(found) < wanted:
+            return np.zeros(0, np.int64)
+        shifts = np.arange(-edits, edits + 1)
+        agreed, votes = np.unique(np.concatenate([np.unique(at[:, None] + shifts) for at in found]), return_counts=True)
+        return agreed[votes >= wanted]
+
+    def places(self, numbers: np.ndarray, ends: np.ndarray, owner: np.ndarray):
+        """(template, text, first word, end, agreeing share) of every place in the texts whose words are `numbers`."""
+        at = np.flatnonzero(np.isin(numbers, self.rare))
+        order = np.argsort(numbers[at], kind="stable")
+        held = np.searchsorted(numbers[at][order], [self.rare, self.rare + 1])
+        places = {int(w): at[order[a:b]] for w, a, b in zip(self.rare, *held)}
+        for i, words in enumerate(self.words):
+            begin, end = self.keys[i][0]
+            first = self.starts(i, places, len(numbers)) + begin
+            first = first[(first >= 0) & (first + end - begin <= len(numbers))]
+            if not len(first):
+                continue
+            key = first[:, None] + np.arange(end - begin)
+            first = first[(numbers[key] == words[begin:end]).all(1) & (owner[first] == owner[key[:, -1]])]
+            for place in first.tolist():
+                text = int(owner[place])
+                low, high = int(ends[text]), int(ends[text + 1])
+                low, high = max(low, place - begin - self.edits[i]), min(high, place - begin + len(words) + 2 * self.edits[i])
+                edits, before, after = self.distance(i, numbers[low:place].tobytes(), numbers[place:high].tobytes())
+                if edits <= self.edits[i]:
+                    yield i, text, place - before, place + after, 1 - edits / len(words)
+
+    def _distance(self, i: int, before: bytes, after: bytes) -> tuple[int, int, int]:
+        """Least edits of the template around its first key phrase, and the words that it takes before and from there on.
+
+        Every key phrase stands word by word. `before` ends where the first one starts, `after` starts with it.
+        """
+        words, (first, *others) = self.words[i].tolist(), self.keys[i]
+        left, right = np.frombuffer(before, np.int32).tolist(), np.frombuffer(after, np.int32).tolist()
+        row = edit_row(words[: first[0]][::-1], left[::-1])
+        head = min(range(len(row)), key=lambda length: (row[length], length))
+        reached, done = {first[1] - first[0]: row[head]}, first[1]
+        for begin, end in [*others, (len(words), len(words))]:
+            onward: dict[int, int] = {}
+            for place, cost in reached.items():
+                for length, more in enumerate(edit_row(words[done:begin], right[place:])):
+                    upto = place + length + end - begin
+                    if right[place + length : upto] == words[begin:end]:
+                        onward[upto] = min(onward.get(upto, cost + more), cost + more)
+            reached, done = onward, end
+        if not reached:
+            return len(words), 0, 0
+        edits, tail = min((cost, upto) for upto, cost in reached.items())
+        return edits, head, tail
+
+
+def edit_row(words: list[int], text: list[int]) -> list[int]:
+    """Edit distances of `words` to the beginnings of `text`, by their length."""
+    row = list(range(len(text) + 1))
+    for count, word in enumerate(words, 1):
+        above, row = row, [count]
+        for j, other in enumerate(text):
+            row.append(min(above[j] + (word != other), above[j + 1] + 1, row[j] + 1))
+    return row
 
 
 def scan_licenses(
     docs: DataFrame, frequencies: dict[str, int], key: str = "doc_id", text: str = "text",
-    base=BASE, notices=NOTICES, agreement: float = AGREEMENT,
+    base=BASE, notices=NOTICES, agreement: float = AGREEMENT, spans: bool = True,
 ) -> DataFrame:
-    """One row per row of docs: key, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
+    """One row per row of docs: key, n_words, n_base, first_word, last_word, base_labels, labels, score and, if wanted, spans.
 
     Words are runs of digits, a-z (after lower-casing A-Z) and non-ASCII characters. n_base counts all places of base
     phrases; first_word and last_word are their smallest and largest start, null without one. labels adds those of notices.
-    score is the largest agreeing share of any template found, else 0. spans lists (label, start, end) of all places.
+    score is the largest share 1 - edits / words of any template found, else 0. spans lists (label, start, end) of all places.
     A null text is an empty one: no words, empty labels. Repeated rows give repeated results.
     """
     templates = tuple(base) + tuple(notices)
     kind = docs.schema[key].dataType.simpleString()
     span = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+    names = [key, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", *["spans"] * spans]
 
     def scan(batches):
         words = Words(templates)
@@ -185,30 +224,26 @@ def scan_licenses(
                 numbers, ends = words.of(data, borders)
                 sizes[first : first + len(ends) - 1] = np.diff(ends)
                 owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-                for i, starts, home, shares in index.places(numbers, owner):
-                    for s, h, share in zip(starts.tolist(), home.tolist(), shares.tolist()):
-                        hits[first + h].append((s - int(ends[h]), i, share))
+                for i, home, start, end, share in index.places(numbers, ends, owner):
+                    hits[first + home].append((start - int(ends[home]), i, share, end - int(ends[home])))
             for h in hits:
                 h.sort()
-            plain = [[(s, i) for s, i, _ in h if i < len(base)] for h in hits]
+            plain = [[(h[0], h[1]) for h in own if h[1] < len(base)] for own in hits]
             name = lambda found: ",".join(sorted({templates[i].label for i in found}))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(key), pa.array(sizes), pa.array([len(p) for p in plain], pa.int64()),
-                    pa.array([p[0][0] if p else None for p in plain], pa.int64()),
-                    pa.array([p[-1][0] if p else None for p in plain], pa.int64()),
-                    pa.array([name(i for _, i in p) for p in plain]), pa.array([name(i for _, i, _ in h) for h in hits]),
-                    pa.array([max((x for _, _, x in h), default=0.0) for h in hits], pa.float64()),
-                    pa.array(
-                        [[{"label": templates[i].label, "start": max(0, s), "end": s + len(templates[i].words)} for s, i, _ in h] for h in hits],
-                        pa.list_(span),
-                    ),
-                ],
-                [key, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"],
-            )
-
-    return docs.select(F.col(key), F.col(text).alias("t")).mapInArrow(
-        scan,
-        f"`{key}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
-        "score double, spans array<struct<label string, start bigint, end bigint>>",
+            columns = [
+                batch.column(key), pa.array(sizes), pa.array([len(p) for p in plain], pa.int64()),
+                pa.array([p[0][0] if p else None for p in plain], pa.int64()),
+                pa.array([p[-1][0] if p else None for p in plain], pa.int64()),
+                pa.array([name(i for _, i in p) for p in plain]), pa.array([name(h[1] for h in own) for own in hits]),
+                pa.array([max((h[2] for h in own), default=0.0) for own in hits], pa.float64()),
+            ]
+            if spans:
+                listed = [[{"label": templates[h[1]].label, "start": h[0], "end": h[3]} for h in own] for own in hits]
+                columns.append(pa.array(listed, pa.list_(span)))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = (
+        f"`{key}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+        + (", spans array<struct<label string, start bigint, end bigint>>" if spans else "")
     )
+    return docs.select(F.col(key), F.col(text).alias("t")).mapInArrow(scan, schema)

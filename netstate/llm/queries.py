@@ -35,8 +35,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = licenses.scan_licenses(docs, licenses.document_frequencies(docs))
-    return found.drop("spans")
+    return licenses.scan_licenses(docs, licenses.document_frequencies(docs), spans=False)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

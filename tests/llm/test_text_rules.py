@@ -1,5 +1,7 @@
 """Counts of rules, licenses and fingerprints against plain Python."""
 
+import math
+import random
 import re
 from collections import Counter
 
@@ -113,6 +115,86 @@ def test_license_base_equals_plain_python(spark):
     assert licenses.scan_licenses(odd(spark), licenses.document_frequencies(odd(spark))).count() == len(ODD) + 4
 
 
+def edits(words, text):
+    """Edit distance of two lists, by its definition."""
+    table = {(i, j): i + j for i in range(len(words) + 1) for j in range(len(text) + 1) if not i * j}
+    for i in range(1, len(words) + 1):
+        for j in range(1, len(text) + 1):
+            table[i, j] = min(table[i - 1, j] + 1, table[i, j - 1] + 1, table[i - 1, j - 1] + (words[i - 1] != text[j - 1]))
+    return table[len(words), len(text)]
+
+
+def notice_edits(t, words):
+    """Least edits of a template over all stretches of words around its key phrases."""
+    n, most = len(t.words), len(t.words) - math.ceil(licenses.AGREEMENT * len(t.words))
+    keys = t.keys
+    at = lambda k, i: tuple(words[i : i + k[1] - k[0]]) == t.words[k[0] : k[1]]
+    near = lambda want, texts: min((edits(want, x) for x in texts), default=n)
+    best = n
+    for i in range(len(words)):
+        if not at(keys[0], i):
+            continue
+        head = near(t.words[: keys[0][0]], [words[a:i] for a in range(max(0, i - n - most), i + 1)])
+        stop = i + keys[0][1] - keys[0][0]
+        for j in [stop] if len(keys) == 1 else range(stop, len(words)):
+            middle = 0 if len(keys) == 1 else edits(t.words[keys[0][1] : keys[1][0]], words[stop:j]) if at(keys[1], j) else n
+            last = j + (0 if len(keys) == 1 else keys[1][1] - keys[1][0])
+            tail = near(t.words[keys[-1][1] :], [words[last:b] for b in range(last, min(len(words), last + 2 * n) + 1)])
+            best = min(best, head + middle + tail)
+    return best if best <= most else None
+
+
+def license_labels(text):
+    words = [w.decode() for w in licenses.WORDS.findall(lower(text or "").encode())]
+    base = license_places(text)[4]
+    found = [(t.label, 1 - e / len(t.words)) for t in licenses.NOTICES if (e := notice_edits(t, words)) is not None]
+    labels = sorted({x for x, _ in found} | set(filter(None, base.split(","))))
+    return ",".join(labels), max([x for _, x in found] + [1.0] * bool(base), default=0.0)
+
+
+def edited(rng, words):
+    """A notice with up to four words put in, left out, replaced or swapped."""
+    words = list(words)
+    for _ in range(rng.randint(0, 4)):
+        i, kind = rng.randrange(len(words)), rng.randrange(4)
+        if kind == 0:
+            words.insert(i, rng.choice(["natural", "the", "license", "x9"]))
+        elif kind == 1 and len(words) > 1:
+            del words[i]
+        elif kind == 2:
+            words[i] = rng.choice(["other", "license", "version"])
+        elif i:
+            words[i - 1], words[i] = words[i], words[i - 1]
+    return words
+
+
+def test_license_notices_equal_brute_force(spark):
+    rng = random.Random(4)
+    texts = [*TEXTS, None, ""]
+    for t in licenses.NOTICES:
+        plain = list(t.words)
+        texts += [" ".join(plain), " ".join(plain[1:]), " ".join(plain[:-1]), " ".join(["pad"] * 3 + plain * 2)]
+        texts += [" ".join(["lead"] * rng.randint(0, 3) + edited(rng, plain) + ["end"] * rng.randint(0, 3)) for _ in range(12)]
+        texts += [" ".join(edited(rng, plain) + edited(rng, rng.choice(licenses.NOTICES).words)) for _ in range(4)]
+    docs = rows(spark, texts)
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs, licenses.document_frequencies(docs)).collect()}
+    for i, t in enumerate(texts):
+        labels, score = license_labels(t)
+        assert got[i].labels == labels and got[i].score == pytest.approx(score), t
+        assert {s.label for s in got[i].spans} == set(filter(None, labels.split(",")))
+    plain = licenses.scan_licenses(docs, licenses.document_frequencies(docs), spans=False)
+    assert "spans" not in plain.columns and plain.count() == len(texts)
+
+
+def test_license_notice_with_an_inserted_word(spark):
+    grant = "Permission is hereby granted, free of charge, to any natural person obtaining a copy of this software and associated documentation files"
+    docs = rows(spark, [f"a b\n{grant} c", grant.replace("free of charge", "free of any charge")])
+    first, second = sorted(licenses.scan_licenses(docs, licenses.document_frequencies(docs)).collect())
+    assert first.labels == "mit" and first.score == pytest.approx(1 - 1 / 20)
+    assert [(s.label, s.start, s.end) for s in first.spans] == [("mit", 2, 23)]
+    assert second.labels == "" and second.score == 0  # a key phrase must stand in full
+
+
 def test_license_query_equals_plain_python(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     for r in queries.op3_license_scan(spark, "/root/testdata/sf0.001").collect():
