@@ -1,9 +1,10 @@
 """Mixing sources to target weights: exact quotas, a splitting tree over output shards, disjoint blocks, local shuffles.
 
 Sizes are words. A source's texts stand in a random order and are cut into blocks of about equal words. Its quota of
-blocks follows from its target: whole passes over the source and a part of one. A multivariate-hypergeometric tree halves
-the shards again and again and deals each half its exact number of blocks, drawn from all sources without replacement. A
-shard then owns a range of each source's permuted blocks; its rows are shuffled by a random key.
+blocks follows from its target: whole passes over the source and a part of one, whose blocks are cut from the texts chosen
+for it. A multivariate-hypergeometric tree halves the shards again and again and deals each half its exact number of blocks,
+drawn from all sources without replacement. A shard then owns a range of each source's permuted blocks, and every copy of a
+text lies in one of them; a shard's rows are shuffled by a random key.
 
 A running sum over a source goes through buckets of the random order, so that no task holds a whole source.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netstate.llm import text as T
-from netstate.scale import stage
+from netstate.scale import join_small, stage
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_TIMES = 3
@@ -65,7 +66,8 @@ def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.
 def plan_sources(sizes: DataFrame, weights: Sequence[float], most: int, shards: int, seed: int) -> DataFrame:
     """From one row per source (src, source, source_size): target, passes, words of the part pass, block size, shard bounds.
 
-    This is one small task: its input is a row per source, whatever the size of the sources.
+    This is one small task: its input is a row per source, whatever the size of the sources. It holds about 300 bytes of each,
+    so tables with up to some millions of sources are meant.
     """
 
     def plan(frame: pd.DataFrame) -> pd.DataFrame:
@@ -104,11 +106,12 @@ def mix_sources(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS,
     most: int = MOST_TIMES, shards: int = SHARDS, seed: int = 13,
 ) -> DataFrame:
-    """Decisions for every distinct (key, text, source): size, source_size, target, copies, taken, shards, and how often the row occurs.
+    """Decisions for every distinct (key, text, source): size, source_size, target, copies, taken, and how often the row occurs;
+    shards and blocks list the shard of each copy and the block of its source's quota that it lies in.
 
     Sources stand in the order of their code points, null last, and take the weights in turn. Rows equal in key, text and
-    source (`rows` of them) are taken or left together. A text without words has size 0; a source without words has
-    target 0. The result depends on the rows and the seed only. Other columns are not read.
+    source (`rows` of them) are taken or left together. A text without words, null or empty, has size 0; a source without
+    words has target 0, and its texts are left. An empty table gives no rows. The result depends on the rows and the seed only. Other columns are not read.
     """
     unit = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
     wanted = docs.select(
@@ -118,29 +121,33 @@ def mix_sources(
     units = wanted.groupBy("id", "source", "src", "unit").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("rows"))
     units = stage(units.withColumn("draw", T.unit_hash("unit", "src", seed=seed)))
     sizes = units.groupBy("src").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
-    plan = stage(plan_sources(sizes, weights, most, shards, seed))
+    plan = plan_sources(sizes, weights, most, shards, seed)
     words = F.col("size") * F.col("rows")
-    placed = running(units, words, "before").join(plan, "src")
-    placed = stage(placed.withColumn("in_part", F.col("before") + words <= F.col("part")))
+    placed = join_small(running(units, words, "before"), plan, ["src"], "inner")
+    # at: where a text of the part pass begins among those chosen for it.
+    in_part = (F.col("part") > 0) & (F.col("before") + words <= F.col("part"))
+    placed = stage(placed.withColumn("at", F.when(in_part, F.col("before"))))
+    chosen = F.col("at").isNotNull()
     for _ in range(FILL_ROUNDS):  # what the part pass leaves open is filled with other texts that fit, the first ones in order
-        left = placed.groupBy("src").agg((F.first("part") - F.sum(F.when(F.col("in_part"), words).otherwise(0))).alias("open"))
-        fitting = placed.join(left, "src").withColumn("fits", ~F.col("in_part") & (words <= F.col("open")))
+        left = placed.groupBy("src").agg((F.first("part") - F.sum(F.when(chosen, words).otherwise(0))).alias("open"))
+        fits = ~chosen & (F.col("part") > 0) & (words <= F.col("open"))
+        fitting = join_small(placed, left, ["src"], "inner").withColumn("fits", fits)
         filled = running(fitting, F.when(F.col("fits"), words).otherwise(F.lit(0)), "used")
-        filler = F.col("fits") & (F.col("used") + words <= F.col("open"))
-        placed = stage(filled.withColumn("in_part", F.col("in_part") | filler).drop("open", "fits", "used"))
-    copies = F.col("passes") + F.col("in_part").cast("long")
-    block = F.least(F.floor((F.col("before") + words / 2) / F.col("block_words")), F.greatest(F.col("blocks") - 1, F.lit(0)))
-
-    def shard(number: Column) -> Column:
-        index = number * F.col("blocks") + F.col("block")
-        dealt = F.size(F.filter("bounds", lambda b: b <= index))
-        return F.when(dealt < shards, dealt).otherwise(F.pmod(F.col("unit"), F.lit(shards)).cast("int"))
-
-    decided = placed.withColumn("copies", copies).withColumn("block", block)
-    numbers = F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.array().cast("array<bigint>"))
-    return decided.select(
+        filler = F.when(F.col("fits") & (F.col("used") + words <= F.col("open")), F.col("part") - F.col("open") + F.col("used"))
+        placed = stage(filled.withColumn("at", F.coalesce("at", filler)).drop("open", "fits", "used"))
+    copies = F.col("passes") + chosen.cast("long")
+
+    def block(first: str, blocks: Column) -> Column:
+        return F.least(F.floor((F.col(first) + words / 2) / F.col("block_words")), blocks - 1)
+
+    whole, part = F.col("blocks"), F.ceil(F.col("part") / F.col("block_words"))
+    numbers = F.when(F.col("passes") > 0, F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)).otherwise(F.array().cast("array<bigint>"))
+    dealt = F.transform(numbers, lambda number: number * whole + block("before", whole))
+    last = F.when(chosen, F.array(F.col("passes") * whole + block("at", part))).otherwise(F.array().cast("array<bigint>"))
+    shard = lambda index: F.size(F.filter("bounds", lambda b: b <= index))
+    return placed.withColumn("copies", copies).withColumn("dealt", F.concat(dealt, last)).select(
         F.col("id").alias(key), F.col("source").alias(source), "unit", "rows", "size", "source_size", "target", "copies",
-        (F.col("size") * F.col("copies")).alias("taken"), F.transform(numbers, shard).alias("shards"),
+        (F.col("size") * F.col("copies")).alias("taken"), F.transform("dealt", shard).alias("shards"), F.col("dealt").alias("blocks"),
     )
 
 
@@ -148,15 +155,18 @@ def draw_mix(docs: DataFrame, decisions: DataFrame, key: str = "doc_id", text: s
              seed: int = 13) -> DataFrame:
     """The mixed rows: those of docs, once per copy, with shard and shuffle_key; each shard is sorted by the latter.
 
-    Columns of docs named shard or shuffle_key are replaced.
+    Columns of docs named shard or shuffle_key are replaced; others may have any name.
     """
     docs = docs.drop("shard", "shuffle_key")
+    unit, copy = "_unit", "_copy"
+    while unit in docs.columns or copy in docs.columns:
+        unit, copy = unit + "_", copy + "_"
     chosen = decisions.where("copies > 0").select(
         F.col(key).alias("_k"), F.col(source).alias("_s"), F.col("unit").alias("_u"), "shards"
     ).alias("m")
-    own = docs.withColumn("_unit", F.xxhash64(F.lit(seed), F.col(key), F.col(text))).alias("d")
-    same = (F.col("d._unit") == F.col("m._u")) & F.col(f"d.`{key}`").eqNullSafe(F.col("m._k")) & F.col(f"d.`{source}`").eqNullSafe(F.col("m._s"))
-    joined = own.join(chosen, same).select(*[F.col(f"d.`{c}`") for c in docs.columns], "_unit", F.posexplode("shards").alias("_copy", "shard"))
-    keyed = joined.withColumn("shuffle_key", F.xxhash64(F.lit(seed), "_unit", "_copy")).drop("_unit", "_copy")
+    own = docs.withColumn(unit, F.xxhash64(F.lit(seed), F.col(key), F.col(text))).alias("d")
+    same = (F.col(f"d.{unit}") == F.col("m._u")) & F.col(f"d.`{key}`").eqNullSafe(F.col("m._k")) & F.col(f"d.`{source}`").eqNullSafe(F.col("m._s"))
+    joined = own.join(chosen, same).select(*[F.col(f"d.`{c}`") for c in docs.columns], f"d.{unit}", F.posexplode("m.shards").alias(copy, "shard"))
+    keyed = joined.withColumn("shuffle_key", F.xxhash64(F.lit(seed), unit, copy)).drop(unit, copy)
     pieces = F.pmod(F.shiftright("shuffle_key", 40), F.lit(8))  # a shard's rows in several tasks, each a range of its order
     return keyed.repartition("shard", pieces).sortWithinPartitions("shard", "shuffle_key")

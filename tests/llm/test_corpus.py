@@ -225,6 +225,47 @@ def test_mix_comes_near_its_targets(spark):
     assert len(shard_words) == mixing.SHARDS
 
 
+def test_every_copy_lies_in_a_block_that_the_tree_deals(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    decided = mixing.mix_sources(docs).toPandas()
+    decided["src"] = decided["source"].map(lambda s: "" if s is None else "=" + s)
+    words = decided["size"] * decided["rows"]
+    sizes = spark.createDataFrame(words.groupby(decided["src"]).sum().rename("source_size").reset_index(), "src string, source_size long")
+    plan = mixing.plan_sources(sizes, mixing.WEIGHTS, mixing.MOST_TIMES, mixing.SHARDS, 13).toPandas().set_index("src")
+    for src, own in decided.groupby("src"):
+        p = plan.loc[src]
+        quota = p.passes * p.blocks + -(-p.part // p.block_words)
+        assert p.bounds[-1] == quota
+        held = {}
+        for size, blocks, shards in zip(own["size"] * own["rows"], own["blocks"], own["shards"]):
+            assert len(blocks) == len(shards)
+            for b, shard in zip(blocks, shards):
+                assert 0 <= b < quota and shard == np.searchsorted(p.bounds, b, "right")
+                held.setdefault(b, []).append(size)
+        for sizes_of in held.values():  # blocks are disjoint ranges of the order: only a border text may stick out on each side
+            assert sum(sizes_of) <= p.block_words + 2 * max(sizes_of)
+
+
+def test_mix_of_many_sources(spark):
+    """A source per text: the targets are those of the plain rule, and each shard gets its share of blocks."""
+    texts = [" ".join(prose(i, 5 + i % 40)) for i in range(3000)]
+    docs = rows(spark, texts, [f"host{i % 2500:05d}" for i in range(3000)])
+    got = mixing.mix_sources(docs).toPandas()
+    by = got.groupby("source").agg(size=("size", "sum"), target=("target", "first"))
+    assert np.allclose(by["target"], mixing.targets(by["size"], [1 + i % 3 for i in range(len(by))]))
+    assert (got["taken"] <= 3 * got["size"]).all() and set(got["shards"].explode().dropna()) == set(range(mixing.SHARDS))
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    docs = rows(spark, [" ".join(prose(i, 30)) for i in range(20)] + ["", None], ["a", "b"] * 11)
+    docs = docs.withColumn("_unit", F.lit("mine")).withColumn("_copy", F.lit(4)).withColumn("shards", F.lit("s")).withColumn("_k", F.lit(1))
+    out = mixing.draw_mix(docs, mixing.mix_sources(docs))
+    assert out.columns == [*docs.columns, "shard", "shuffle_key"]
+    assert {(r["_unit"], r["_copy"], r["shards"], r["_k"]) for r in out.collect()} == {("mine", 4, "s", 1)}
+    silent = docs.where("doc_id >= 20")
+    assert mixing.draw_mix(silent, mixing.mix_sources(silent)).count() == 0
+
+
 def test_mix_of_odd_rows(spark):
     docs = odd(spark)
     decided = mixing.mix_sources(docs)
