@@ -208,7 +208,8 @@ def stream_late_rows(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark)
     flows = derive_flows(spark, d)
     for part in (flows.where(_FIRST), flows.where(f"NOT ({_FIRST})").unionByName(flows.where("flow_seq % 7 = 0"))):
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    live = spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    late.sort_out(live, ["flow_seq"], f"{folder}/sorted", f"{folder}/checkpoint", delay_seconds=5 * 86_400).awaitTermination()
+        part.write.mode("append").parquet(f"{folder}/in")
+        # A run takes all new files as one batch, however many tasks wrote them; the next one goes on from its checkpoint.
+        live = spark.readStream.schema(flows.schema).parquet(f"{folder}/in")
+        late.sort_out(live, ["flow_seq"], f"{folder}/sorted", f"{folder}/checkpoint", delay_seconds=5 * 86_400).awaitTermination()
     return late.sorted_counts(spark, f"{folder}/sorted")
