@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tests.helpers import flow, flows, windows
 
 from netstate.functions.columns import drop_repeated_headers
+from netstate.functions.values import finite_number
 from netstate.sources import flow_files as ff
 from netstate.sources import sinks
 
@@ -81,3 +82,22 @@ def test_labelled_flow_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).first()["current_state"] == "BENIGN"
     sinks.write_manifest(spark, {"rows": 1}, str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).first()["rows"] == "1"
+
+
+def test_numbers_are_parsed_without_a_text_between(spark, tmp_path):
+    fields = ["1.5", "Infinity", "-Infinity", "NaN", "inf", "x", "", " 2", "1e3", "a", "7"]
+    lines = [f"{i},{v},t{i}" for i, v in enumerate(fields)] + ["11", "12,3.5,t,more"]
+    (tmp_path / "a.csv").write_text("\n".join(["id,a,b", *lines]) + "\n")
+    texts = ff.read_flow_csv(spark, str(tmp_path / "a.csv"))
+    numbers = ff.read_flow_csv(spark, str(tmp_path / "a.csv"), lambda names: [n for n in names if n == "a"])
+    assert dict(numbers.dtypes)["a"] == "double"
+    kept = ["id", finite_number(F.col("a")).alias("a"), "b", "flow_seq"]
+    assert numbers.select(*kept).collect() == texts.select(*kept).collect()
+
+
+def test_session_csv_shows_numbers_as_their_cast_does(spark, tmp_path):
+    values = "0.0D, -0.0D, 1e10D, 1e-5D, 123456.789D, double('inf'), double('nan'), cast(null as double), 1.7976931348623157e308D"
+    rows = spark.sql(f"SELECT 's' AS session_id, posexplode(array({values})) AS (n, d)").selectExpr("*", "float(d) AS f", "n * 10000000000 AS l", "n > 1 AS b")
+    sinks.write_session_csv(rows, str(tmp_path / "out"), ["s"], "n", {"s": {c: c for c in ("n", "d", "f", "l", "b")}})
+    read = spark.read.option("header", True).csv(str(tmp_path / "out" / "s.csv")).collect()
+    assert sorted(map(tuple, read)) == sorted(map(tuple, rows.selectExpr(*[f"string({c})" for c in ("n", "d", "f", "l", "b")]).collect()))
