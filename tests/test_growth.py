@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from netstate.catalog import assembly as queries
-from netstate.catalog import streams
+from netstate.catalog import models, streams
 from netstate.operators import neighbours as nb
 from netstate.operators.flow_features import FLAGS
+from netstate.scale import deal
 from netstate.sources import sinks
 from netstate.streaming import assembly
 
@@ -112,3 +113,19 @@ def test_columns_are_added_after_the_rows_are_placed(spark, tmp_path):
     assert seen == [["flow_seq", "session_id"]] * 2
     read = spark.read.option("header", True).csv(f"{tmp_path}/s1.csv")
     assert sorted((int(r["Flow ID"]), int(r["Wide"])) for r in read.collect()) == [(i, 2 * i) for i in range(30) if i % 3]
+
+
+def test_fits_get_even_partitions_whatever_the_classes(spark, tmp_path):
+    kinds = ["view"] * 17 + ["error", "purchase", "signup"]  # one class has most of the rows
+    rows = [(i, START + timedelta(minutes=i), i % 7, kinds[i % 20], 1.5 * (i % 11), f'{{"k": {i % 60}}}') for i in range(4000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    train, validation, scaler = models._flow_vectors(spark, str(tmp_path))
+    counts = [r["count"] for r in train.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(counts) == spark.sparkContext.defaultParallelism and max(counts) < 1.2 * sum(counts) / len(counts)
+    assert train.count() + validation.count() == sum(i % 97 != 0 for i in range(4000)) and len(scaler.minimum) == 77
+
+
+def test_rows_are_dealt_over_a_bounded_number_of_tasks(spark):
+    cores = spark.sparkContext.defaultParallelism
+    parts = [deal(spark.range(100, numPartitions=1), rows, 3).rdd.getNumPartitions() for rows in (100, -(-60 // cores), 1)]
+    assert parts == [cores, 2 * cores, 3 * cores]
