@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
     RandomForestClassifier,
@@ -160,14 +161,18 @@ class LinearModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """`df` with rawPrediction, probability and prediction from its column `features`."""
-        x = vector_to_array("features")
-        logits = [
-            F.aggregate(
-                F.zip_with(x, F.array(*[F.lit(float(c)) for c in row]), lambda a, b: a * b), F.lit(float(start)), lambda a, b: a + b
-            )
-            for row, start in zip(self.coefficients, self.intercepts)
-        ]
-        out = df.withColumn("_z", F.array(*logits)).withColumn("_m", F.array_max("_z"))
+        weights, start = np.array(self.coefficients, float), np.array(self.intercepts, float)
+
+        # Every input of every row in lambdas of Spark is a boxed value; a batch is one numpy column per input.
+        @F.arrow_udf("array<double>")
+        def logits(x: pa.Array) -> pa.Array:
+            inputs = np.ascontiguousarray(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), weights.shape[1]).T)
+            z = np.repeat(start[:, None], len(x), axis=1)
+            for values, factors in zip(inputs, weights.T):
+                z += values * factors[:, None]
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(start), pa.int32()), pa.array(z.T.ravel()))
+
+        out = df.withColumn("_z", logits(vector_to_array("features"))).withColumn("_m", F.array_max("_z"))
         out = out.withColumn("_e", F.transform("_z", lambda z: F.exp(z - F.col("_m"))))
         total = F.aggregate("_e", F.lit(0.0), lambda a, b: a + b)
         return out.withColumns(

@@ -14,6 +14,7 @@ from netstate.operators.metrics import PROBABILITIES
 from netstate.operators.modeling import with_probabilities
 from netstate.operators.signatures import attack_class, capture_verdict, signature_states
 from netstate.operators.splits import MinMaxModel
+from netstate.scale import stage
 
 
 def score_flows(flows: DataFrame, model, scaler: MinMaxModel, features: Sequence[str]) -> DataFrame:
@@ -35,11 +36,15 @@ def score_flows(flows: DataFrame, model, scaler: MinMaxModel, features: Sequence
 
 
 def label_flows(
-    flows: DataFrame, model, scaler: MinMaxModel, features: Sequence[str], rules: Mapping[str, Mapping] | None = None
+    flows: DataFrame, model, scaler: MinMaxModel, features: Sequence[str], rules: Mapping[str, Mapping] | None = None,
+    drop: Sequence[str] = (),
 ) -> DataFrame:
-    """Flows with `current_state`, `confidence`, `signature_state` and `effective_state`."""
+    """Flows with `current_state`, `confidence`, `signature_state` and `effective_state`.
+
+    The scored flows are stored once, without the columns in `drop`, which no rule may need; every rule reads them again.
+    """
     rules = dict(rules or {})
-    scored = score_flows(flows.drop("current_state", "signature_state", "effective_state"), model, scaler, features)
+    scored = stage(score_flows(flows.drop("current_state", "signature_state", "effective_state"), model, scaler, features).drop(*drop))
     if scored.where(F.col("current_state") != INVALID_STATE).isEmpty():
         raise ValueError("Every flow has an invalid or missing feature.")
     signed = signature_states(scored, rules.get("flood"), rules.get("syn"), rules.get("sweep"))

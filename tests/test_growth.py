@@ -5,12 +5,17 @@ from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
+from tests.helpers import flow, flows
 
 from netstate.catalog import assembly as queries
 from netstate.catalog import models, streams
 from netstate.operators import neighbours as nb
 from netstate.operators.flow_features import FLAGS
+from netstate.operators.modeling import LinearModel
+from netstate.operators.splits import MinMaxModel
+from netstate.plans.label_flows import label_flows
 from netstate.scale import deal
 from netstate.sources import sinks
 from netstate.streaming import assembly
@@ -129,3 +134,38 @@ def test_rows_are_dealt_over_a_bounded_number_of_tasks(spark):
     cores = spark.sparkContext.defaultParallelism
     parts = [deal(spark.range(100, numPartitions=1), rows, 3).rdd.getNumPartitions() for rows in (100, -(-60 // cores), 1)]
     assert parts == [cores, 2 * cores, 3 * cores]
+
+
+def test_flows_are_scored_and_stored_once(spark):
+    table = flows(spark, [flow(i, tot_fwd_pkts=float(i), flow_pkts_s=1.0) for i in range(20)])
+    features = ["tot_fwd_pkts", "flow_pkts_s", "flow_iat_mean"]
+    scaler = MinMaxModel({f: 0.0 for f in features}, {f: 20.0 for f in features}, 1)
+    given = LinearModel(((1.0, 0.0, 0.1),) + ((0.0, 0.3, -0.7),) * 3, (-0.5, 0.0, -0.1, -0.2))
+    out = label_flows(table, given, scaler, features, drop=["flow_iat_mean"])
+    assert "flow_iat_mean" not in out.columns and {"tot_fwd_pkts", "signature_state"} <= set(out.columns)
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().optimizedPlan().toString()
+    plain = table.select("flow_seq", *features).collect()
+    want = {}
+    for r in plain:
+        x = [r[f] * (1.0 / 20.0) for f in features]
+        logits = []
+        for row, z in zip(given.coefficients, given.intercepts):
+            for a, b in zip(x, row):
+                z += a * b
+            logits.append(z)
+        want[r["flow_seq"]] = ["BENIGN", "DDoS", "DoS", "PortScan"][logits.index(max(logits))]
+    assert {r["flow_seq"]: r["current_state"] for r in out.collect()} == want
+
+
+def test_a_linear_model_adds_from_the_left(spark):
+    rows = spark.range(7).select("id", array_to_vector(F.array(F.col("id") / 3, F.lit(0.1), F.col("id") * 1e9)).alias("features"))
+    model = LinearModel(((0.3, 0.7, -1e-9), (0.1, -0.2, 3e-10)), (0.1, 0.0))
+    scored = model.transform(rows)
+    assert "ArrowEvalPython" in scored._jdf.queryExecution().executedPlan().toString()
+    for r in scored.collect():
+        want = []
+        for row, z in zip(model.coefficients, model.intercepts):
+            for a, b in zip(r["features"].toArray().tolist(), row):
+                z += a * b
+            want.append(z)
+        assert r["rawPrediction"].toArray().tolist() == want and r["prediction"] == want.index(max(want))
