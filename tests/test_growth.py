@@ -7,17 +7,19 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
-from tests.helpers import flow, flows
+from tests.helpers import SMALL, flow, flows
+from tests.test_assembly import SCHEMA
 
 from netstate.catalog import assembly as queries
 from netstate.catalog import models, streams
 from netstate.operators import neighbours as nb
-from netstate.operators.flow_features import FLAGS
+from netstate.operators.flow_features import FLAGS, flow_features
 from netstate.operators.modeling import LinearModel
 from netstate.operators.splits import MinMaxModel
 from netstate.plans.label_flows import label_flows
 from netstate.scale import deal
 from netstate.sources import sinks
+from netstate.sources.tables import derive_trace
 from netstate.streaming import assembly
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -169,3 +171,26 @@ def test_a_linear_model_adds_from_the_left(spark):
                 z += a * b
             want.append(z)
         assert r["rawPrediction"].toArray().tolist() == want and r["prediction"] == want.index(max(want))
+
+
+def test_packets_of_flows_are_dealt_twice_and_stored_nowhere(spark):
+    """Once with the few columns that all borders of buckets are made of, once with all of them."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        flows = flow_features(derive_trace(spark, SMALL), 120, 60)
+        assert flows.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    final = flows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert (final.count("FileScan parquet"), final.count("ExistingRDD")) == (2, 0), final
+
+
+def test_bulks_and_periods_that_cross_many_buckets(spark):
+    """Buckets of an eighth of a second and of days give the same flows."""
+    one, other = ("10.0.0.1", None), ("10.0.0.2", 80)
+    times = [("a", t / 10) for t in range(12)] + [("b", 1.2 + t / 10) for t in range(5)] + [("a", 9 + t / 4) for t in range(7)] + [("a", 80 + t) for t in range(3)]
+    rows = [(i, START + timedelta(seconds=t), *(one + other if side == "a" else other + one), "TCP", 10 * (i % 5), 20, 500, *[False] * len(FLAGS)) for i, (side, t) in enumerate(times)]
+    packets = spark.createDataFrame(rows, SCHEMA)
+    small, large = (sorted(tuple(r) for r in flow_features(packets, 120, 60, bits=bits).collect()) for bits in (17, 40))
+    assert [r[:11] for r in small] == [r[:11] for r in large] and [r[6] for r in small] == [0, 1]
+    assert np.allclose([r[11:] for r in small], [r[11:] for r in large], rtol=1e-12)
